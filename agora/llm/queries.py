@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from agora.llm.bpe import op3_bpe_encode_decode
+from agora.llm.secret_scan import op6_secret_scan
+from agora.llm.sharding import op5_shard
 from agora.llm.token_counts import op4_token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_bpe_encode_decode, op4_token_counts)}
+    return {f.__name__: f for f in (op3_bpe_encode_decode, op4_token_counts, op5_shard, op6_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
