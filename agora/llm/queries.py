@@ -10,10 +10,11 @@ from agora.llm.bpe import op3_bpe_encode_decode
 from agora.llm.secret_scan import op6_secret_scan
 from agora.llm.sharding import op5_shard
 from agora.llm.token_counts import op4_token_counts
+from agora.llm.toxicity import op2_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_bpe_encode_decode, op4_token_counts, op5_shard, op6_secret_scan)}
+    return {f.__name__: f for f in (op2_toxicity, op3_bpe_encode_decode, op4_token_counts, op5_shard, op6_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
