@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from agora.llm.bpe import op3_bpe_encode_decode
+from agora.llm.mixing import op8_mix
 from agora.llm.quality import op7_quality
 from agora.llm.secret_scan import op6_secret_scan
 from agora.llm.sharding import op5_shard
@@ -15,7 +16,7 @@ from agora.llm.toxicity import op2_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_toxicity, op3_bpe_encode_decode, op4_token_counts, op5_shard, op6_secret_scan, op7_quality)}
+    return {f.__name__: f for f in (op2_toxicity, op3_bpe_encode_decode, op4_token_counts, op5_shard, op6_secret_scan, op7_quality, op8_mix)}
 
 
 def oracle_sql() -> dict[str, str]:
