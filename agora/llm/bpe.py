@@ -2,7 +2,7 @@
 
 Per task the distinct words of a batch go into a trie that is walked depth first
 (``prefix_bpe``); each word's ids and decoded form are then kept, up to
-``CACHE_WORDS``, and texts are put together from them. White space separates
+``CACHE_WORDS`` in each of two generations, and texts are put together from them. White space separates
 words in this vocabulary and is dropped, so no word's encoding depends on its
 neighbours.
 
@@ -23,10 +23,10 @@ from pyspark.sql import functions as F
 
 from agora.llm.prefix_bpe import END, PrefixBPE, read_word_vocabulary
 
-#: Distinct words whose encodings a worker keeps; beyond it, it starts anew.
+#: Distinct words of a generation: beyond it, a worker starts the next one and drops the one before.
 CACHE_WORDS = 300_000
 
-SPACE = "\t-\r \x85\xa0  -     　"
+SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _SPACES = re.compile(f"[{SPACE}]+")
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 #: The vocabulary's word pattern over lower-cased Latin-1, where letters and digits are known.
@@ -46,8 +46,10 @@ class WordEncoder:
         library = Tokenizer.from_file(path)
         self.normalizer, self.splitter = library.normalizer, library.pre_tokenizer
         self.specials = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
-        self.names = {i: t for t, i in self.bpe.tokens.items()}
+        self.packed = {t: i.to_bytes(4, "little") for t, i in self.bpe.tokens.items()}
+        self.shown = {t: self.show(t) for t in self.bpe.tokens}
         self.cache: dict[str, tuple[bytes, str]] = {}
+        self.older: dict[str, tuple[bytes, str]] = {}
 
     def show(self, token: str) -> str:
         c = ord(token[-1])
@@ -66,16 +68,17 @@ class WordEncoder:
         return out
 
     def learn(self, chunks: set[str]) -> None:
-        if len(self.cache) + len(chunks) > CACHE_WORDS:
-            self.cache = {}
-        parts = {c: self.pieces(c) for c in chunks}
+        parts, packed, shown = {c: self.pieces(c) for c in chunks}, self.packed, self.shown
         encoded = {}
         for word, last in self.bpe.walk(w for ws in parts.values() for w in ws):
-            encoded[word] = self.bpe.chain(last)
+            tokens = self.bpe.chain(last)
+            encoded[word] = (b"".join([packed[t] for t in tokens]), " ".join([shown[t] for t in tokens]))
         for c, ws in parts.items():
-            tokens = [t for w in ws for t in encoded[w]]
-            ids = b"".join(self.bpe.tokens[t].to_bytes(4, "little") for t in tokens)
-            self.cache[c] = (ids, " ".join(map(self.show, tokens)))
+            if len(ws) == 1:
+                self.cache[c] = encoded[ws[0]]
+            else:
+                found = [encoded[w] for w in ws]
+                self.cache[c] = (b"".join([f[0] for f in found]), " ".join([f[1] for f in found]))
 
     def chunks(self, text: str) -> list[str]:
         return (_SPACES.split(text) if _SEPARATORS.search(text) else text.split()) if text else []
@@ -90,11 +93,13 @@ class WordEncoder:
         """(ids as little-endian unsigned 32-bit integers, decoded text) of each text."""
         split = [self.split(t) for t in texts]
         known = {t: (i.to_bytes(4, "little"), t) for t, i in self.special.items()}
-        missing = set().union(*split) - self.cache.keys() - known.keys() - {""}
-        if missing:
-            if len(self.cache) + len(missing) > CACHE_WORDS:
-                missing = set().union(*split) - known.keys() - {""}
-            self.learn(missing)
+        words = set().union(*split)
+        if len(self.cache) > CACHE_WORDS:
+            self.older, self.cache = self.cache, {}
+        missing = words - self.cache.keys() - known.keys() - {""}
+        for w in missing & self.older.keys():
+            self.cache[w] = self.older[w]
+        self.learn(missing - self.older.keys())
         cache = self.cache | known if any(t in known for s in split for t in s) else self.cache
         for words in split:
             found = [cache[w] for w in words if w]

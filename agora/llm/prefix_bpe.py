@@ -29,7 +29,13 @@ class PrefixBPE:
     def __init__(self, tokens: dict[str, int], rank: Callable[[str, str], int | None]):
         self.tokens = tokens
         self.rank = rank
-        self.longest = max(map(len, tokens), default=1)
+        #: The lengths of tokens by their last two characters, longest first.
+        self.lengths: dict[str, list[int]] = {}
+        for t in tokens:
+            if len(t) > 1 and len(t) not in (known := self.lengths.setdefault(t[-2:], [])):
+                known.append(len(t))
+        for known in self.lengths.values():
+            known.sort(reverse=True)
         self.spines: dict[str, tuple | None] = {}
         self.pairs: dict[str, dict[str, bool]] = {}
 
@@ -68,8 +74,11 @@ class PrefixBPE:
 
     def adjacent(self, a: str, b: str) -> bool:
         """Whether the encoding of a + b is a, then b."""
-        row = self.pairs.setdefault(a, {})
-        if (known := row.get(b)) is None:
+        row = self.pairs.get(a)
+        if row is None:
+            row = self.pairs[a] = {}
+        known = row.get(b)
+        if known is None:
             _, sorted_a, right, _ = self.spine(a)
             _, sorted_b, _, left = self.spine(b)
             if sorted_a and sorted_b:
@@ -87,11 +96,11 @@ class PrefixBPE:
         return known
 
     def last_token(self, word: str, end: int, last: list[str]) -> str:
-        tokens = self.tokens
-        for length in range(min(self.longest, end), 1, -1):
-            t = word[end - length : end]
-            if t in tokens and self.spine(t)[0] and (length == end or self.adjacent(last[end - length], t)):
-                return t
+        for length in self.lengths.get(word[end - 2 : end], ()) if end > 1 else ():
+            if length <= end:
+                t = word[end - length : end]
+                if t in self.tokens and self.spine(t)[0] and (length == end or self.adjacent(last[end - length], t)):
+                    return t
         return word[end - 1]
 
     def walk(self, words: Iterable[str]) -> Iterator[tuple[str, list[str]]]:

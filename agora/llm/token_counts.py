@@ -29,6 +29,7 @@ class PrefixCounter:
     def __init__(self, path: str):
         self.bpe = read_piece_vocabulary(path)
         self.cache: dict[str, int] = {}
+        self.older: dict[str, int] = {}
         self.costs: dict[str, int] = {}
 
     def cost(self, token: str) -> int:
@@ -50,9 +51,12 @@ class PrefixCounter:
         return _STRETCHES.findall("▁" + text.replace(" ", "▁")) if text else []
 
     def learn(self, stretches: set[str]) -> None:
+        if len(self.cache) > CACHE_WORDS:
+            self.older, self.cache = self.cache, {}
         missing = stretches - self.cache.keys()
-        if len(self.cache) + len(missing) > CACHE_WORDS:
-            self.cache, missing = {}, stretches
+        for w in missing & self.older.keys():
+            self.cache[w] = self.older[w]
+        missing -= self.older.keys()
         #: The counts of the trie's current path; a shared prefix keeps its own.
         before, counts = "", [0]
         for word, last in self.bpe.walk(missing):
