@@ -10,6 +10,7 @@ from agora.llm.bpe import op3_bpe_encode_decode
 from agora.llm.embedding_dedup import op10_embedding_dedup
 from agora.llm.mixing import op8_mix
 from agora.llm.nearest import op9_nearest
+from agora.llm.ngram_join import op1_ngram_join
 from agora.llm.quality import op7_quality
 from agora.llm.secret_scan import op6_secret_scan
 from agora.llm.sharding import op5_shard
@@ -18,7 +19,7 @@ from agora.llm.toxicity import op2_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_toxicity, op3_bpe_encode_decode, op4_token_counts, op5_shard, op6_secret_scan, op7_quality, op8_mix, op9_nearest, op10_embedding_dedup)}
+    return {f.__name__: f for f in (op1_ngram_join, op2_toxicity, op3_bpe_encode_decode, op4_token_counts, op5_shard, op6_secret_scan, op7_quality, op8_mix, op9_nearest, op10_embedding_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
