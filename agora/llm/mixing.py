@@ -78,16 +78,18 @@ def mix(
     made = ("block", "slot", "mix_position")
     docs = docs.drop(*[c for c in made if c not in (id_column, source_column)])
     key = F.col(f"`{id_column}`")
-    source = F.col(f"`{source_column}`").cast("string")
-    by_source = docs.groupBy(source.alias("s")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.asc_nulls_first("s")).collect()
+    # never null, so that joins on it are plain equalities and reuse the window's exchange
+    source = F.coalesce(F.concat(F.lit("="), F.col(f"`{source_column}`").cast("string")), F.lit("null"))
+    by_source = docs.groupBy(source.alias("s")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "s").collect()
+    names = [None if r.s == "null" else r.s[1:] for r in by_source]
     total = sum(r.n for r in by_source)
     rows = max(LEAST_BLOCK_ROWS, -(-total // most_blocks))
     counts = [-(-r.n // rows) for r in by_source]
     if weights is None:
         target = [float(r.n) ** temperature for r in by_source]
     else:
-        named = sum(r.n for r in by_source if r.s not in weights)
-        target = [weights[r.s] if r.s in weights else rest * r.n / named for r in by_source]
+        unnamed = sum(r.n for r, name in zip(by_source, names, strict=True) if name not in weights)
+        target = [weights[name] if name in weights else rest * r.n / unnamed for r, name in zip(by_source, names, strict=True)]
     spark = docs.sparkSession
     buckets = max(1, total // BUCKET_ROWS)
     plan = []  # a row for each block: most_blocks and one for each source at most
@@ -105,10 +107,10 @@ def mix(
     before = before.select(F.col("_src").alias("_src2"), F.col("_k").alias("_k2"), F.coalesce("_before", F.lit(0)).alias("_before"))
     order = Window.partitionBy("_src", "_k").orderBy(F.xxhash64(key), key, *[F.col(f"`{c}`") for c, kind in docs.dtypes if kind in ("string", "bigint", "int") and c != id_column and c != "text"])
     ranked = keyed.withColumn("_rank", F.row_number().over(order) - 1)
-    placed = ranked.join(before, F.col("_src").eqNullSafe(F.col("_src2")) & (F.col("_k") == F.col("_k2"))).withColumn("_at", F.col("_rank") + F.col("_before"))
+    placed = ranked.join(before, (F.col("_src") == F.col("_src2")) & (F.col("_k") == F.col("_k2"))).withColumn("_at", F.col("_rank") + F.col("_before"))
     placed = placed.withColumn("block", F.floor(F.col("_at") / rows).cast("bigint"))
     # the plan has a bounded number of rows (most_blocks and one for each source)
-    joined = placed.join(F.broadcast(blocks) if len(plan) <= 2 * most_blocks else blocks, F.col("_src").eqNullSafe(F.col("_s")) & (F.col("block") == F.col("_b")))
+    joined = placed.join(F.broadcast(blocks) if len(plan) <= 2 * most_blocks else blocks, (F.col("_src") == F.col("_s")) & (F.col("block") == F.col("_b")))
     return joined.withColumn("mix_position", F.col("_start") + F.col("_at") - F.col("block") * rows).select(*[F.col(f"`{c}`") for c in docs.columns], *made)
 
 
