@@ -1,10 +1,85 @@
-"""The corpus pipeline (filled in stage by stage)."""
+"""The corpus pipeline: five stages over ``documents``, each reading what the one before has kept.
+
+Stages take (spark, docs, sf_dir) and return a DataFrame; all but the last return
+the columns of ``documents``. Each stage's result is written as Parquet and reread
+as the next one's input.
+
+1. quality      documents that the classifier and their site's posterior reject go
+2. ngram_join   of each group of near-duplicate documents the one with the least id stays
+3. secrets      every secret span in the text is replaced by ``[secret]``, n_chars follows
+4. mixing       rows are put in the order of a mix by target weights
+5. bpe          ids and decoded text under the word vocabulary
+
+All rows with a null id stay through stage 2, as do those with an empty text. Of
+rows that repeat an id, stage 2 keeps one if their set is kept at all.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from agora.llm import bpe, mixing, ngram_join, quality, secret_scan
+from agora.llm.common import Scratch, table
+
+#: Ids up to this many are broadcast (8 bytes each); beyond it, joined by shuffle.
+MOST_BROADCAST = 1_000_000
+MASK = "[secret]"
+
+
+def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels")
+    judged = quality.assess(docs, quality.learn(docs, labels))
+    return judged.filter(~F.col("rejected")).select(docs.columns)
+
+
+def stage_ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = ngram_join.near_duplicates(docs)
+    gone = found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
+    if gone.count() <= MOST_BROADCAST:
+        gone = F.broadcast(gone)
+    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    repeated = found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    if repeated.isEmpty():
+        return kept
+    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.join(repeated, "doc_id", "left_anti").select(docs.columns).unionByName(once.select(docs.columns))
+
+
+def stage_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    masked = secret_scan.mask_secrets(docs, mask=MASK)
+    changed = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return masked.withColumn("n_chars", F.when(F.contains("text", F.lit(MASK)), changed).otherwise(F.col("n_chars"))).select(docs.columns)
+
+
+def stage_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(docs)
+    return mixed.repartitionByRange("mix_position").sortWithinPartitions("mix_position").select(docs.columns)
+
+
+def stage_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe.encode_decode(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
+
+
+STAGES = [
+    ("quality", stage_quality),
+    ("ngram_join", stage_ngram_join),
+    ("secrets", stage_secrets),
+    ("mixing", stage_mixing),
+    ("bpe", stage_bpe),
+]
+
+#: Neither the classifier nor the encoding can be said in SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark)
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        before = docs
+        docs = scratch.keep(stage(spark, before, sf_dir), last=k == len(STAGES) - 1)
+        scratch.drop(before)
+    return docs
