@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import uuid
 from collections.abc import Iterable
 
@@ -57,6 +58,13 @@ class Scratch:
                 _delete(self.spark, path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that nothing refers to any more; it does so when the driver's
+    garbage is collected, which may come late for large files."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 _AT_END: list[tuple[SparkSession, str]] = []
 
 

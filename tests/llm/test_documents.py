@@ -83,6 +83,13 @@ def test_ngram_join_of_nothing_and_of_copies(spark):
     assert ngram_join.near_duplicates(twice).count() == 3
 
 
+def test_one_id_with_two_texts_has_the_links_of_both(spark):
+    long = " ".join(f"w{k}" for k in range(60))
+    rows = [(1, long, "", "", 0), (1, "some other words that link with nothing", "", "", 0), (2, long + " end", "", "", 0), (3, "and one more text that stands alone here", "", "", 0)]
+    got = sorted((r.doc_id, r.component_id) for r in ngram_join.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert got == [(1, 1), (1, 1), (2, 1), (3, 3)]
+
+
 def test_long_texts_are_read_in_stretches(monkeypatch):
     import pyarrow as pa
 
