@@ -1,10 +1,10 @@
 """BPE encoding and decoding of whole texts.
 
 Per task the distinct words of a batch go into a trie that is walked depth first
-(``prefix_bpe``); each word's ids and decoded form are then kept, up to
-``CACHE_WORDS`` in each of two generations, and texts are put together from them. White space separates
-words in this vocabulary and is dropped, so no word's encoding depends on its
-neighbours.
+(``prefix_bpe``); each word's ids are then kept as packed bytes, up to
+``CACHE_WORDS`` in each of two generations, and texts are put together from them
+and decoded from their ids. White space separates words in this vocabulary and is
+dropped, so no word's encoding depends on its neighbours.
 
 Null texts count as empty; an empty text has no ids and decodes to "". Strings
 of special tokens inside a text are those tokens, as the vocabulary's library
@@ -16,11 +16,14 @@ from __future__ import annotations
 
 import hashlib
 import re
+import sys
+from array import array
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from agora.llm.common import per_worker
 from agora.llm.prefix_bpe import END, PrefixBPE, read_word_vocabulary
 
 #: Distinct words of a generation: beyond it, a worker starts the next one and drops the one before.
@@ -47,9 +50,9 @@ class WordEncoder:
         self.normalizer, self.splitter = library.normalizer, library.pre_tokenizer
         self.specials = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.packed = {t: i.to_bytes(4, "little") for t, i in self.bpe.tokens.items()}
-        self.shown = {t: self.show(t) for t in self.bpe.tokens}
-        self.cache: dict[str, tuple[bytes, str]] = {}
-        self.older: dict[str, tuple[bytes, str]] = {}
+        self.shown = {i: self.show(t) for t, i in self.bpe.tokens.items()} | {i: t for t, i in self.special.items()}
+        self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def show(self, token: str) -> str:
         c = ord(token[-1])
@@ -68,17 +71,12 @@ class WordEncoder:
         return out
 
     def learn(self, chunks: set[str]) -> None:
-        parts, packed, shown = {c: self.pieces(c) for c in chunks}, self.packed, self.shown
+        parts, packed = {c: self.pieces(c) for c in chunks}, self.packed
         encoded = {}
         for word, last in self.bpe.walk(w for ws in parts.values() for w in ws):
-            tokens = self.bpe.chain(last)
-            encoded[word] = (b"".join([packed[t] for t in tokens]), " ".join([shown[t] for t in tokens]))
+            encoded[word] = b"".join([packed[t] for t in self.bpe.chain(last)])
         for c, ws in parts.items():
-            if len(ws) == 1:
-                self.cache[c] = encoded[ws[0]]
-            else:
-                found = [encoded[w] for w in ws]
-                self.cache[c] = (b"".join([f[0] for f in found]), " ".join([f[1] for f in found]))
+            self.cache[c] = encoded[ws[0]] if len(ws) == 1 else b"".join([encoded[w] for w in ws])
 
     def chunks(self, text: str) -> list[str]:
         return (_SPACES.split(text) if _SEPARATORS.search(text) else text.split()) if text else []
@@ -92,7 +90,7 @@ class WordEncoder:
     def encode_texts(self, texts: list[str]) -> Iterator[tuple[bytes, str]]:
         """(ids as little-endian unsigned 32-bit integers, decoded text) of each text."""
         split = [self.split(t) for t in texts]
-        known = {t: (i.to_bytes(4, "little"), t) for t, i in self.special.items()}
+        known = {t: i.to_bytes(4, "little") for t, i in self.special.items()}
         words = set().union(*split)
         if len(self.cache) > CACHE_WORDS:
             self.older, self.cache = self.cache, {}
@@ -101,12 +99,16 @@ class WordEncoder:
             self.cache[w] = self.older[w]
         self.learn(missing - self.older.keys())
         cache = self.cache | known if any(t in known for s in split for t in s) else self.cache
+        ids_of, shown_of = cache.__getitem__, self.shown.__getitem__
         for words in split:
-            found = [cache[w] for w in words if w]
-            yield b"".join([f[0] for f in found]), " ".join([f[1] for f in found if f[1]])
+            ids = b"".join(map(ids_of, filter(None, words)))
+            tokens = array("I", ids)
+            if sys.byteorder == "big":
+                tokens.byteswap()
+            yield ids, " ".join(map(shown_of, tokens))
 
 
-_encoders: dict[str, WordEncoder] = {}
+_encoders: dict[str, WordEncoder] = per_worker()
 
 
 def encoder(path: str) -> WordEncoder:
@@ -116,16 +118,16 @@ def encoder(path: str) -> WordEncoder:
     return _encoders[path]
 
 
-def slices(texts: list, most: int = 1 << 21) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about ``most`` characters together, one text at least."""
+def slices(texts, most: int = 1 << 21) -> Iterator[tuple[int, int, list[str]]]:
+    """Consecutive texts of an Arrow column, about ``most`` bytes together and one text at least, with their range."""
+    import pyarrow.compute as pc
+
     start, held = 0, 0
-    for k, t in enumerate(texts):
-        held += len(t)
-        if held >= most:
-            yield start, k + 1
-            start, held = k + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+    for k, n in enumerate(pc.binary_length(texts).to_pylist(), 1):
+        held += n or 0
+        if held >= most or k == len(texts):
+            yield start, k, texts.slice(start, k - start).to_pylist()
+            start, held = k, 0
 
 
 def encode_decode(docs: DataFrame, vocabulary: str, id_column: str = "doc_id", text_column: str = "text", with_ids: bool = True) -> DataFrame:
@@ -144,10 +146,10 @@ def encode_decode(docs: DataFrame, vocabulary: str, id_column: str = "doc_id", t
 
         e = encoder(vocabulary)
         for batch in batches:
-            keys, texts = batch.column(0), batch.column(1).to_pylist()
-            for a, b in slices(texts):
+            keys = batch.column(0)
+            for a, b, texts in slices(batch.column(1)):
                 n, x, y = [], [], []
-                for ids, decoded in e.encode_texts(texts[a:b]):
+                for ids, decoded in e.encode_texts(texts):
                     n.append(len(ids) // 4)
                     x.append(np.frombuffer(ids, "<i4") if with_ids else hashlib.sha256(ids).hexdigest())
                     y.append(decoded if with_ids else hashlib.sha256(decoded.encode()).hexdigest())

@@ -65,6 +65,21 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+_PER_WORKER: list[dict] = []
+
+
+def per_worker() -> dict:
+    """A table that a Python worker keeps from task to task, until a task of another operator begins in it."""
+    _PER_WORKER.append({})
+    return _PER_WORKER[-1]
+
+
+def forget() -> None:
+    """Empties those tables: workers are reused, and what one stage has kept is of no use to the next."""
+    for kept in _PER_WORKER:
+        kept.clear()
+
+
 _AT_END: list[tuple[SparkSession, str]] = []
 
 

@@ -167,9 +167,8 @@ def find_secrets(docs: DataFrame, id_column: str = "doc_id", text_column: str =
         import pyarrow as pa
 
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in slices(texts):
-                found = [scan(t) for t in texts[a:b]]
+            for a, b, texts in slices(batch.column(1)):
+                found = [scan(t) for t in texts]
                 counts = [pa.array([sum(k == j for _, k, _ in s) for s in found], pa.int64()) for j in range(4)]
                 digests = [hashlib.sha256(joined([x for x in s if x[1] < 3]).encode()).hexdigest() for s in found]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *counts, pa.array(digests, pa.string()), pa.array(map(joined, found), pa.string())], names=["id", *names, "base_sha256", "spans"])
@@ -186,11 +185,10 @@ def mask_secrets(docs: DataFrame, text_column: str = "text", mask: str = "[secre
         import pyarrow as pa
 
         for batch in batches:
-            texts = batch.column(at).to_pylist()
-            out = [t if not t or not (s := scan(t)) else masked(t, s, mask) for t in texts]
-            columns = [*batch.columns]
-            columns[at] = pa.array(out, pa.string())
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            for a, b, texts in slices(batch.column(at)):
+                columns = batch.slice(a, b - a).columns
+                columns[at] = pa.array([t if not t or not (s := scan(t)) else masked(t, s, mask) for t in texts], pa.string())
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return docs.mapInArrow(run, docs.schema)
 

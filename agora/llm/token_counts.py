@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from agora.llm.bpe import CACHE_WORDS, slices
+from agora.llm.common import per_worker
 from agora.llm.prefix_bpe import read_piece_vocabulary
 
 #: Stretches that can be counted alone: spaces with the word after them, or trailing spaces.
@@ -101,7 +102,7 @@ def _common(a: str, b: str) -> str:
     return a[:n]
 
 
-_counters: dict[str, PrefixCounter] = {}
+_counters: dict[str, PrefixCounter] = per_worker()
 
 
 def counter(path: str) -> PrefixCounter:
@@ -123,12 +124,11 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int, id_column: str =
 
         c = counter(vocabulary)
         for batch in batches:
-            texts = batch.column(2).to_pylist()
-            for a, b in slices(texts):
-                n = c.counts(texts[a:b])
+            for a, b, texts in slices(batch.column(2)):
+                n = c.counts(texts)
                 columns = [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())]
                 if with_cut:
-                    columns.append(pa.array([len(t) if x <= limit else c.longest_prefix(t, limit) for t, x in zip(texts[a:b], n, strict=True)], pa.int64()))
+                    columns.append(pa.array([len(t) if x <= limit else c.longest_prefix(t, limit) for t, x in zip(texts, n, strict=True)], pa.int64()))
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     schema = f"id {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean" + ", cut bigint" * with_cut
