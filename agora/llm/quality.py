@@ -28,6 +28,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from agora.llm.bpe import slices
+from agora.llm.common import forget
+
 MOST_ROWS = 12_000
 #: Documents with a smaller final probability are rejected.
 THRESHOLD = 0.4
@@ -103,6 +106,7 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS, id_column:
     def run(batches):
         import pandas as pd
 
+        forget()
         for b in batches:
             yield pd.DataFrame({"x": [features(t) for t in b["text"]], "y": b["y"]})
 
@@ -127,17 +131,21 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS, id_column:
 
 
 def with_log_odds(docs: DataFrame, classifier: Classifier, text_column: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Columns ``keep`` (all by default) with the classifier's ``_log_odds``; the text itself needs no second copy."""
+    """Columns ``keep`` (all by default) with the classifier's ``_log_odds``; a text that is kept travels once."""
     keep = docs.columns if keep is None else keep
-    source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_column}`").alias("_text"))
-    schema = source.drop("_text").withColumn("_log_odds", F.lit(0.0)).schema
+    source = docs.select(*[F.col(f"`{c}`") for c in keep])
+    schema = source.withColumn("_log_odds", F.lit(0.0)).schema
+    if text_column not in keep:
+        source = docs.select(*[F.col(f"`{c}`") for c in [*keep, text_column]])
+    at = source.columns.index(text_column)
 
     def run(batches):
         import pyarrow as pa
 
+        forget()
         for batch in batches:
-            rows = [features(t or "") for t in batch.column(len(keep)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(classifier.log_odds(rows), pa.float64())], names=[*keep, "_log_odds"])
+            rows = [features(t or "") for _, _, texts in slices(batch.column(at)) for t in texts]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(classifier.log_odds(rows), pa.float64())], names=[*keep, "_log_odds"])
 
     return source.mapInArrow(run, schema)
 
