@@ -23,7 +23,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from agora.llm.common import per_worker
+from agora.llm.common import forget, per_worker, trimmed
 from agora.llm.prefix_bpe import END, PrefixBPE, read_word_vocabulary
 
 #: Distinct words of a generation: beyond it, a worker starts the next one and drops the one before.
@@ -130,21 +130,25 @@ def slices(texts, most: int = 1 << 21) -> Iterator[tuple[int, int, list[str]]]:
             start, held = k, 0
 
 
-def encode_decode(docs: DataFrame, vocabulary: str, id_column: str = "doc_id", text_column: str = "text", with_ids: bool = True) -> DataFrame:
+def encode_decode(docs: DataFrame, vocabulary: str, id_column: str = "doc_id", text_column: str = "text", with_ids: bool = True, reuse: bool = True) -> DataFrame:
     """One row per document: its id, n_tokens, and either ``ids`` and ``decoded`` or only their digests.
 
     With ``with_ids`` the columns are (id, n_tokens, ids array<int>, decoded string);
-    without, (id, n_tokens, ids_sha256, decoded_sha256).
+    without, (id, n_tokens, ids_sha256, decoded_sha256). With ``reuse`` a Python worker keeps encoder
+    and words for its next task; without, they end with the task, for jobs with more workers than cores.
     """
     source = docs.select(F.col(f"`{id_column}`").alias("id"), F.coalesce(F.col(f"`{text_column}`"), F.lit("")).alias("text"))
     kind = source.schema["id"].dataType.simpleString()
     tail = "ids array<int>, decoded string" if with_ids else "ids_sha256 string, decoded_sha256 string"
 
+    @trimmed
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        e = encoder(vocabulary)
+        if not reuse:
+            forget()
+        e = encoder(vocabulary) if reuse else WordEncoder(vocabulary)
         for batch in batches:
             keys = batch.column(0)
             for a, b, texts in slices(batch.column(1)):

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import functools
 import gc
 import uuid
 from collections.abc import Iterable
@@ -80,6 +82,30 @@ def forget() -> None:
         kept.clear()
 
 
+def trimmed(run):
+    """A function over Arrow batches that gives freed memory back to the system when its task ends: workers outlive
+    tasks, and idle ones would hold it beside the busy ones."""
+
+    @functools.wraps(run)
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return whole
+
+
+def trim() -> None:
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # not this C library
+        return
+
+
 _AT_END: list[tuple[SparkSession, str]] = []
 
 

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from agora.llm.bpe import slices
-from agora.llm.common import forget
+from agora.llm.common import forget, trimmed
 
 MOST_ROWS = 12_000
 #: Documents with a smaller final probability are rejected.
@@ -103,6 +103,7 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS, id_column:
     # the sample's size is bounded by ``most``: small ids and labels only
     rows = docs.select(F.col(id_column).alias("id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "id")
 
+    @trimmed
     def run(batches):
         import pandas as pd
 
@@ -139,6 +140,7 @@ def with_log_odds(docs: DataFrame, classifier: Classifier, text_column: str = "t
         source = docs.select(*[F.col(f"`{c}`") for c in [*keep, text_column]])
     at = source.columns.index(text_column)
 
+    @trimmed
     def run(batches):
         import pyarrow as pa
 

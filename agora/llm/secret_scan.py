@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from agora.llm.bpe import slices
+from agora.llm.common import trimmed
 
 # The patterns and the least lengths of the fixed kinds.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -163,6 +164,7 @@ def find_secrets(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     kind = source.schema["id"].dataType.simpleString()
     names = ["n_assign", "n_access", "n_hex", "n_random"]
 
+    @trimmed
     def run(batches):
         import pyarrow as pa
 
@@ -181,6 +183,7 @@ def mask_secrets(docs: DataFrame, text_column: str = "text", mask: str = "[secre
     names = docs.columns
     at = names.index(text_column)
 
+    @trimmed
     def run(batches):
         import pyarrow as pa
 
