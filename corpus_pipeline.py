@@ -60,7 +60,7 @@ def stage_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def stage_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return bpe.encode_decode(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
+    return bpe.encode_decode(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=False, reuse=False)
 
 
 STAGES = [
