@@ -6,16 +6,18 @@ Fixed kinds, each leftmost and non-overlapping, with offsets in code points:
 * ``access``  ``AKIA`` and capitals or digits, 16 characters or more together
 * ``hex``     32 or more lower-case hexadecimal digits
 
-``random`` spans come from the battery. A candidate is a stretch of at least
-``MIN_LENGTH`` characters of the base64 alphabets that overlaps no fixed span and
-has letters and digits (or ``LETTERS_ONLY`` characters). The smallest encoding
-that holds it is inferred (hexadecimal, base32, base36, base64, letters), and
+``random`` spans come from the battery. Stretches of the characters of the base64
+alphabets are parted at every inner ``=``, so that a name and its value are judged
+apart; a part that no single alphabet holds gives its longest runs of base64, of
+base64url and of letters and digits. A candidate is a part or run of at least
+``MIN_LENGTH`` characters that overlaps no fixed span and has letters and digits
+(or ``LETTERS_ONLY`` characters). The smallest encoding that holds it is inferred (hexadecimal, base32, base36, base64, letters), and
 three tests ask whether it is uniform in that alphabet: chi-squared over the
 symbols, runs above and below the middle, and lag-1 serial correlation. Fisher's
 method joins the p-values. All candidates of a text are then decided together by
 the Benjamini-Hochberg rule with weights in proportion to length, so that of the
 candidates dismissed as natural only a share ``FDR`` is expected to be random;
-the others are spans.
+the others are spans, overlapping ones joined.
 
 Null texts count as empty and have no spans. Rows are kept, repeated ones too.
 """
@@ -42,6 +44,9 @@ KINDS = ("assign", "access", "hex", "random")
 
 MIN_LENGTH, LETTERS_ONLY, FDR = 20, 32, 0.05
 CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{MIN_LENGTH},}}")
+#: What a stretch is parted into (``=`` at its end is padding), and the runs of a part that no alphabet holds.
+PART = re.compile(r"[^=]+(?:=+\Z)?")
+RUNS = tuple(re.compile(rf"[A-Za-z0-9{more}]{{{MIN_LENGTH},}}") for more in ("+/", "_-", ""))
 #: Encodings from the smallest alphabet up.
 ALPHABETS = (
     ("decimal", "0123456789"),
@@ -121,6 +126,30 @@ def dismissed(p_values: list[float], lengths: list[int], fdr: float = FDR) -> se
     return {k for _, k in weighted[:last]}
 
 
+def parts(stretch: str) -> list[tuple[int, int]]:
+    """(start, end) of what is judged in a stretch: its parts between ``=``, or their runs where no alphabet holds a part."""
+    out = []
+    for m in PART.finditer(stretch):
+        if len(m[0]) < MIN_LENGTH:
+            continue
+        if encoding(m[0]):
+            out.append(m.span())
+        else:
+            out += sorted({(m.start() + r.start(), m.start() + r.end()) for pattern in RUNS for r in pattern.finditer(m[0])})
+    return out
+
+
+def united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans by start, those that overlap as one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
 def scan(text: str) -> list[tuple[int, int, int]]:
     """(start, index of the kind in KINDS, end), by start and kind."""
     spans = []
@@ -133,14 +162,14 @@ def scan(text: str) -> list[tuple[int, int, int]]:
     if any(b - a >= HEX_LENGTH for a, b in candidates):
         spans += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     base, tested = sorted(spans), []
-    for a, b in candidates:
+    for a, b in [(start + x, start + y) for start, end in candidates for x, y in parts(text[start:end])]:
         token = text[a:b]
         mixed = any(c.isdigit() for c in token) and any(c.isalpha() for c in token)
         if (mixed or (b - a >= LETTERS_ONLY and not token.isdigit())) and not any(s < b and a < e for s, _, e in base):
             tested.append((a, b, battery(token)))
     if tested:
         out = dismissed([p for _, _, p in tested], [b - a for a, b, _ in tested])
-        spans += [(a, 3, b) for k, (a, b, _) in enumerate(tested) if k not in out]
+        spans += [(a, 3, b) for a, b in united([(a, b) for k, (a, b, _) in enumerate(tested) if k not in out])]
     return sorted(spans)
 
 

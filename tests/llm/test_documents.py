@@ -137,6 +137,20 @@ def test_battery_tells_random_from_words():
     assert secret_scan.battery("internationalizationofthings") < 0.05 < secret_scan.battery(TOKEN)
 
 
+def test_secrets_in_assignments_and_urls():
+    part = lambda text, value: (text.index(value), 3, text.index(value) + len(value))
+    value = TOKEN[:24]
+    for text in (f"AWS_SECRET_ACCESS_KEY={TOKEN}", f"DB_PASS={value}", f"see https://x.org/a?sig={value}&v=1", f"PRIVATE_KEY={TOKEN}==", f"/srv/app-data/{TOKEN}", f"a=b={value}"):
+        found = TOKEN + "==" if text.endswith("==") else TOKEN if TOKEN in text else value
+        assert part(text, found) in secret_scan.scan(text), text
+    assert secret_scan.scan("a_very_long_setting_name=internationalization-of-everything") == []
+    r, forms = random.Random(6), ["DB_PASS={}", "https://x.org/a?sig={}&v=1", "SIGNING_KEY={}", "/srv/app-data/{}"]
+    for form in forms:
+        keys = ["".join(r.choices(ALPHABET, k=40)) for _ in range(200)]
+        held = [any(a <= part(t, k)[0] and part(t, k)[2] <= b for a, _, b in secret_scan.scan(t)) for k, t in ((k, form.format(k)) for k in keys)]
+        assert sum(held) > 170, form
+
+
 # shards
 
 
