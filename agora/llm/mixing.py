@@ -8,11 +8,12 @@ deadline goes first. So no source is ever a whole block ahead of or behind its
 share. When a source runs out, the others share its rate in proportion, from
 where they stand. All rows are kept.
 
-The schedule runs over block counts on the driver: with ``most_blocks`` blocks
-aimed at, whatever the table's size, and one part-filled block for each source.
-Row numbers are found without sorting a source as a whole: rows fall into buckets
-by hash, bucket counts are summed up per source, and only buckets are sorted, so
-a source with a third of all rows is spread like the others.
+A block has ``block_rows`` rows at every size of the table, so the deviation in rows
+doesn't grow with it. The schedule is made by one task as a stream of blocks, from
+the sources' counts alone: its memory depends on the number of sources only, its
+time on the number of blocks. Blocks reach their rows by way of buckets: rows fall
+into buckets by hash, bucket counts are summed up per source, and only buckets are
+sorted, so a source with a third of all rows is spread like the others.
 
 A null source is a source of its own. Weights name sources; sources not named
 share ``rest`` in proportion to their rows. Without weights, weights are the
@@ -22,41 +23,59 @@ alike and lie together. An empty table gives no rows.
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TEMPERATURE = 0.7
-MOST_BLOCKS = 20_000
-LEAST_BLOCK_ROWS = 16
+BLOCK_ROWS = 16
 #: Rows that a bucket is to hold, in the mean.
 BUCKET_ROWS = 4_000
+#: Blocks of a batch of the schedule.
+BATCH_BLOCKS = 8_192
+
+
+def turns(blocks: list[int], weights: list[float]) -> Iterator[int]:
+    """The source of each slot, by earliest deadline first among released blocks.
+
+    Shares are kept as one fluid time: a source of weight w is due w * time blocks, so that its block j is released
+    after time j / w and has its deadline at (j + 1) / w, whatever the others do. A slot takes 1 / (weights left).
+    When a source runs out, what it still owes or has had too much shifts the time, which gives it to the others in
+    proportion.
+    """
+    weight = [max(float(w), 1e-12) for w in weights]
+    given = [0] * len(blocks)
+    ready: list[tuple[float, int]] = []  # by deadline
+    waiting = [(0.0, k) for k, n in enumerate(blocks) if n > 0]  # by release
+    whole = sum(weight[k] for _, k in waiting)
+    start, slot = 0.0, 0  # of the stretch in which no source has run out
+    for _ in range(sum(blocks)):
+        slot += 1
+        end = start + slot / whole
+        released = lambda k: weight[k] * end - given[k] > 1e-11 * (given[k] + 1)  # noqa: B023, E731
+        while waiting and released(waiting[0][1]):
+            k = heapq.heappop(waiting)[1]
+            heapq.heappush(ready, ((given[k] + 1) / weight[k], k))
+        while ready and not released(ready[0][1]):  # the time was shifted back
+            k = heapq.heappop(ready)[1]
+            heapq.heappush(waiting, (given[k] / weight[k], k))
+        k = heapq.heappop(ready or waiting)[1]
+        given[k] += 1
+        if given[k] < blocks[k]:
+            heapq.heappush(waiting, (given[k] / weight[k], k))
+        elif ready or waiting:
+            whole = sum(weight[j] for _, j in (*ready, *waiting))
+            start, slot = end + (weight[k] * end - given[k]) / whole, 0
+        yield k
 
 
 def schedule(blocks: list[int], weights: list[float]) -> list[list[int]]:
-    """For each source the slots of its blocks, by earliest deadline first among released blocks."""
-    import numpy as np
-
-    left = np.array(blocks, dtype=np.int64)
-    weight = np.array(weights, dtype=float)
-    weight = np.where(left > 0, np.maximum(weight, 1e-12), 0.0)
-    lag = np.zeros(len(left))  # fluid share less blocks given
+    """For each source the slots of its blocks."""
     slots: list[list[int]] = [[] for _ in blocks]
-    for slot in range(int(left.sum())):
-        rate = np.where(left > 0, weight, 0.0)
-        rate /= rate.sum()
-        # block j is released once the share passes j: within this slot if lag + rate > 0
-        released = (left > 0) & (lag + rate > 1e-12)
-        deadline = np.where(released, (1 - lag) / np.where(rate > 0, rate, 1.0), np.inf)
-        k = int(np.argmin(deadline)) if released.any() else int(np.argmax(np.where(left > 0, lag, -np.inf)))
-        lag += rate
-        lag[k] -= 1
-        left[k] -= 1
+    for slot, k in enumerate(turns(blocks, weights)):
         slots[k].append(slot)
-        if not left[k]:  # what it still owes or has had too much goes to the others in proportion
-            others = np.where(left > 0, weight, 0.0)
-            if others.sum():
-                lag += lag[k] * others / others.sum()
-            lag[k] = 0.0
     return slots
 
 
@@ -64,12 +83,37 @@ def _bucket(key: Column, n: int) -> Column:
     return F.pmod(F.xxhash64(key, F.lit("bucket")), F.lit(n))
 
 
+def _plan(spark, sources: list[str], counts: list[int], weights: list[float], rows: int) -> DataFrame:
+    """(_s, _b, slot, _start): each block's source, number, slot and first position, made batch by batch in one task."""
+    blocks = [-(-n // rows) for n in counts]
+
+    def run(batches):
+        from itertools import islice
+
+        import pyarrow as pa
+
+        for _ in batches:
+            left, given, slot, start = turns(blocks, weights), [0] * len(blocks), 0, 0
+            while batch := list(islice(left, BATCH_BLOCKS)):
+                numbers, starts = [], []
+                for k in batch:
+                    numbers.append(given[k])
+                    starts.append(start)
+                    start += min(rows, counts[k] - given[k] * rows)
+                    given[k] += 1
+                arrays = [pa.array([sources[k] for k in batch], pa.string()), pa.array(numbers, pa.int64()), pa.array(range(slot, slot + len(batch)), pa.int64()), pa.array(starts, pa.int64())]
+                yield pa.RecordBatch.from_arrays(arrays, names=["_s", "_b", "slot", "_start"])
+                slot += len(batch)
+
+    return spark.range(0, 1, 1, 1).mapInArrow(run, "_s string, _b bigint, slot bigint, _start bigint")
+
+
 def mix(
     docs: DataFrame,
     weights: dict[str, float] | None = None,
     rest: float = 0.0,
     temperature: float = TEMPERATURE,
-    most_blocks: int = MOST_BLOCKS,
+    block_rows: int = BLOCK_ROWS,
     id_column: str = "doc_id",
     source_column: str = "source",
 ) -> DataFrame:
@@ -83,35 +127,29 @@ def mix(
     by_source = docs.groupBy(source.alias("s")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "s").collect()
     names = [None if r.s == "null" else r.s[1:] for r in by_source]
     total = sum(r.n for r in by_source)
-    rows = max(LEAST_BLOCK_ROWS, -(-total // most_blocks))
-    counts = [-(-r.n // rows) for r in by_source]
     if weights is None:
         target = [float(r.n) ** temperature for r in by_source]
     else:
         unnamed = sum(r.n for r, name in zip(by_source, names, strict=True) if name not in weights)
         target = [weights[name] if name in weights else rest * r.n / unnamed for r, name in zip(by_source, names, strict=True)]
-    spark = docs.sparkSession
     buckets = max(1, total // BUCKET_ROWS)
-    plan = []  # a row for each block: most_blocks and one for each source at most
-    for r, own in zip(by_source, schedule(counts, target), strict=True):
-        plan += [(r.s, b, slot, min(rows, r.n - b * rows)) for b, slot in enumerate(own)]
-    plan.sort(key=lambda x: x[2])
-    start = 0
-    for k, (s, b, slot, n) in enumerate(plan):
-        plan[k] = (s, b, slot, start)
-        start += n
-    blocks = spark.createDataFrame(plan, "_s string, _b bigint, slot bigint, _start bigint")
+    blocks = _plan(docs.sparkSession, [r.s for r in by_source], [r.n for r in by_source], target, block_rows)
     keyed = docs.withColumns({"_k": _bucket(key, buckets), "_src": source})
     sizes = keyed.groupBy("_src", "_k").agg(F.count("*").alias("_n"))
     before = sizes.withColumn("_before", F.sum("_n").over(Window.partitionBy("_src").orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)))
-    before = before.select(F.col("_src").alias("_src2"), F.col("_k").alias("_k2"), F.coalesce("_before", F.lit(0)).alias("_before"))
+    before = before.select(F.col("_src").alias("_src2"), F.col("_k").alias("_k2"), F.coalesce("_before", F.lit(0)).alias("_before"), "_n")
+    first, last = F.floor(F.col("_before") / block_rows).cast("bigint"), F.floor((F.col("_before") + F.col("_n") - 1) / block_rows).cast("bigint")
+    # each bucket with the blocks that its rows lie in: the rows themselves are joined by the bucket alone
+    spread = before.withColumn("_first", first).select("*", F.explode(F.sequence(first, last)).alias("_b2"))
+    reached = spread.join(blocks, (F.col("_src2") == F.col("_s")) & (F.col("_b2") == F.col("_b")))
+    reached = reached.groupBy("_src2", "_k2", "_before", "_first").agg(F.array_sort(F.collect_list(F.struct("_b", "slot", "_start"))).alias("_blocks"))
     order = Window.partitionBy("_src", "_k").orderBy(F.xxhash64(key), key, *[F.col(f"`{c}`") for c, kind in docs.dtypes if kind in ("string", "bigint", "int") and c != id_column and c != "text"])
     ranked = keyed.withColumn("_rank", F.row_number().over(order) - 1)
-    placed = ranked.join(before, (F.col("_src") == F.col("_src2")) & (F.col("_k") == F.col("_k2"))).withColumn("_at", F.col("_rank") + F.col("_before"))
-    placed = placed.withColumn("block", F.floor(F.col("_at") / rows).cast("bigint"))
-    # the plan has a bounded number of rows (most_blocks and one for each source)
-    joined = placed.join(F.broadcast(blocks) if len(plan) <= 2 * most_blocks else blocks, (F.col("_src") == F.col("_s")) & (F.col("block") == F.col("_b")))
-    return joined.withColumn("mix_position", F.col("_start") + F.col("_at") - F.col("block") * rows).select(*[F.col(f"`{c}`") for c in docs.columns], *made)
+    placed = ranked.join(reached, (F.col("_src") == F.col("_src2")) & (F.col("_k") == F.col("_k2"))).withColumn("_at", F.col("_rank") + F.col("_before"))
+    placed = placed.withColumn("block", F.floor(F.col("_at") / block_rows).cast("bigint"))
+    own = F.get("_blocks", (F.col("block") - F.col("_first")).cast("int"))
+    placed = placed.withColumns({"slot": own["slot"], "mix_position": own["_start"] + F.col("_at") - F.col("block") * block_rows})
+    return placed.select(*[F.col(f"`{c}`") for c in docs.columns], *made)
 
 
 def op8_mix(spark, sf_dir: str) -> DataFrame:

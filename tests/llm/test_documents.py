@@ -251,3 +251,14 @@ def test_mix_keeps_all_rows(spark):
     assert sorted(r.mix_position for r in rows) == list(range(500)) and len({r.doc_id for r in rows}) == 500
     assert {r.source for r in rows} >= {None, "hot"}
     assert mixing.mix(docs.limit(0)).count() == 0
+
+
+def test_blocks_of_a_mix_are_alike_at_every_size(spark):
+    n = 400_000
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 20_000 == 7, "rare").when(F.col("id") % 3 == 0, "a").otherwise("b").alias("source"))
+    mixed = mixing.mix(docs).persist()
+    longest = mixed.groupBy("source", "block").count().agg(F.max("count")).first()[0]
+    assert longest == 16
+    row = mixed.agg(F.count_distinct("doc_id"), F.count_distinct("mix_position"), F.min("mix_position"), F.max("mix_position")).first()
+    assert tuple(row) == (n, n, 0, n - 1)
+    mixed.unpersist()
