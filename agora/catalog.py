@@ -536,10 +536,15 @@ def mmr_terms(spark, sf_dir):
     return M.mmr(M.ctfidf(_counts(spark, sf_dir)))
 
 
+def _similarity(docs: DataFrame, weights: DataFrame) -> DataFrame:
+    embed = M.embedder(docs, "text")
+    return M.term_similarity(embed(docs, "text"), "source", weights, embed)
+
+
 @query()
 def keybert_terms(spark, sf_dir):
     w = M.ctfidf(_counts(spark, sf_dir))
-    sim = w.select("topic", "term", (F.col("weight") / F.sqrt(F.sum(F.col("weight") ** 2).over(Window.partitionBy("topic")))).alias("sim"))
+    sim = _similarity(B.words_by_source(spark, sf_dir), w)
     return M.keyterms(w, sim)
 
 
@@ -590,8 +595,8 @@ def _info(spark, sf_dir):
     w = M.ctfidf(M.term_counts(B.words_by_source(spark, sf_dir), "source", terms))
     order = F.regexp_extract("Topic", r"(\d+)", 1).cast("int")
     info = M.topic_info(B.words_by_source(spark, sf_dir), w, "source", "text").withColumn("Name", F.regexp_replace("Name", "^src", "")).withColumn("Topic", order)
-    m = M.mmr(w).select(F.regexp_extract("topic", r"(\d+)", 1).cast("int").alias("_t"), "MMR")
-    return M.fallback_label(info.join(m, F.col("Topic") == F.col("_t")).drop("_t").withColumn("KeyBERT", F.col("Representation")))
+    m = M.mmr(w).join(M.keybert(w, _similarity(B.words_by_source(spark, sf_dir), w)), "topic").select(F.regexp_extract("topic", r"(\d+)", 1).cast("int").alias("_t"), "MMR", "KeyBERT")
+    return M.fallback_label(info.join(m, F.col("Topic") == F.col("_t")).drop("_t"))
 
 
 @query()

@@ -8,6 +8,8 @@ k-means, with small clusters as outliers. Its ids are ordered by size.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.ml.feature import HashingTF, IDF, Normalizer, PCA, StopWordsRemover
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -152,14 +154,21 @@ def centroid_farthest(df: DataFrame, group: str, vector: str, value: str, positi
     return d.groupBy(group).agg(near.alias("rep_doc_centroid"), far.alias("rep_doc_farthest"))
 
 
-def embed(df: DataFrame, text: str, size: int = 256) -> DataFrame:
-    """``embedding``: hashed TF-IDF of the text, the offline default of a pluggable embedder."""
-    d = df.withColumn("_tokens", words(F.coalesce(F.col(text), F.lit(""))))
-    tf = HashingTF(numFeatures=size, inputCol="_tokens", outputCol="_tf").transform(d)
-    out = IDF(inputCol="_tf", outputCol="_e").fit(tf).transform(tf)
+def embedder(docs: DataFrame, text: str, size: int = 256) -> Callable[[DataFrame, str], DataFrame]:
+    """A function of (rows, text column) that adds ``embedding``: hashed TF-IDF, with the document frequencies of ``docs``."""
     from pyspark.ml.functions import vector_to_array
 
-    return out.withColumn("embedding", vector_to_array("_e", "float32")).drop("_tokens", "_tf", "_e")
+    def hashed(df: DataFrame, column: str) -> DataFrame:
+        d = df.withColumn("_tokens", words(F.coalesce(F.col(column), F.lit(""))))
+        return HashingTF(numFeatures=size, inputCol="_tokens", outputCol="_tf").transform(d)
+
+    model = IDF(inputCol="_tf", outputCol="_e").fit(hashed(docs, text))
+    return lambda df, column: model.transform(hashed(df, column)).withColumn("embedding", vector_to_array("_e", "float32")).drop("_tokens", "_tf", "_e")
+
+
+def embed(df: DataFrame, text: str, size: int = 256) -> DataFrame:
+    """``embedding``: hashed TF-IDF of the text, the offline default of a pluggable embedder."""
+    return embedder(df, text, size)(df, text)
 
 
 def embed_with(df: DataFrame, text: str, model, batch: int = 128) -> DataFrame:
@@ -240,6 +249,21 @@ def keyterms(weights: DataFrame, similarity: DataFrame, n: int = 10) -> DataFram
     return d.withColumn("rank", r).filter(F.col("rank") <= n)
 
 
+def term_similarity(vectors: DataFrame, topic: str, weights: DataFrame, embed: Callable[[DataFrame, str], DataFrame], n: int = 10) -> DataFrame:
+    """(topic, term, sim): cosine of each topic's candidates to the mean ``embedding`` of its documents. ``embed`` adds the
+    terms' ``embedding`` in the documents' space."""
+    candidates = top_words(weights, 3 * n).select("topic", "term")
+    terms = embed(candidates.select("term").distinct(), "term").select("term", "embedding")
+    d = candidates.join(terms, "term").join(centroids(vectors, topic, "embedding").withColumnRenamed(topic, "_g"), F.col("topic").eqNullSafe(F.col("_g")))
+    return d.select("topic", "term", cosine(F.col("embedding"), F.col("centroid")).alias("sim"))
+
+
+def keybert(weights: DataFrame, similarity: DataFrame, n: int = 10) -> DataFrame:
+    """(topic, KeyBERT): the terms of ``keyterms`` in their order."""
+    d = keyterms(weights, similarity, n).groupBy("topic").agg(F.array_sort(F.collect_list(F.struct("rank", "term"))).alias("_k"))
+    return d.select("topic", F.transform("_k", lambda x: x["term"]).alias("KeyBERT"))
+
+
 def mmr(weights: DataFrame, n: int = 10, diversity: float = 0.3, candidates: int = 30) -> DataFrame:
     """Maximal marginal relevance of each topic's terms: relevance is the weight over the topic's greatest, likeness of
     two terms is that of their character trigrams. A fold over an array of candidates, bounded by ``candidates``."""

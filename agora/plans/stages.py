@@ -22,19 +22,26 @@ def documents(spark: SparkSession, folder: str, tags=None, targets=None, mode: s
     return checked, stats.unionByName(more.withColumn("stat", F.concat(F.lit("sanity_"), "stat")))
 
 
-def model(docs: DataFrame, embeddings: DataFrame | None = None, cfg: TopicConfig = TopicConfig()) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(documents with topics, topic table, yearly statistics); stored embeddings are checked against the documents."""
+def model(docs: DataFrame, embeddings: DataFrame | None = None, cfg: TopicConfig = TopicConfig(), embedder: Callable[[DataFrame, str], DataFrame] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents with topics, topic table, yearly statistics); stored embeddings are checked against the documents.
+
+    ``embedder`` (of rows and a text column, see ``topics.embedder``) is what the stored embeddings were made with. Without
+    it, documents and terms are embedded by the default for the KeyBERT column, since stored vectors may be of another space."""
+    own = embedder or topics.embedder(docs, "text_clean")
     if embeddings is None:
-        d = topics.embed(docs, "text_clean")
+        d = own(docs, "text_clean")
     else:
         forum.check_alignment(docs, embeddings)
         d = docs.join(embeddings.select("doc_id", "embedding"), "doc_id")
-    d = topics.cluster(d, "embedding", cfg).drop("embedding")
+    d = topics.cluster(d, "embedding", cfg)
+    vectors = d if embeddings is None or embedder else own(d.drop("embedding"), "text_clean")
+    d = d.drop("embedding")
     terms = topics.ngrams(topics.words(F.col("text_clean")), cfg.ngrams, topics.stopwords())
     counts = topics.vectorized(topics.term_counts(d, "topic", terms), TopicConfig(min_df=1, max_df=1.0, max_features=cfg.max_features))
     weights = topics.ctfidf(counts)
     info = topics.topic_info(d, weights, "topic", "text_clean", cfg.top_n_words).join(topics.mmr(weights, cfg.top_n_words, cfg.mmr_diversity).withColumnRenamed("topic", "Topic"), "Topic", "left")
-    info = topics.fallback_label(info.withColumn("KeyBERT", F.col("Representation")))
+    similar = topics.term_similarity(vectors, "topic", weights, own, cfg.top_n_words)
+    info = topics.fallback_label(info.join(topics.keybert(weights, similar, cfg.top_n_words).withColumnRenamed("topic", "Topic"), "Topic", "left"))
     return d, info, explore.yearly_stats(d)
 
 

@@ -212,3 +212,37 @@ def test_streaming_counts_match_batch(spark, tmp_path):
     q = counts.writeStream.format("memory").queryName("counts").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert spark.table("counts").agg(F.sum("value")).first()[0] == batch.count()
+
+
+def test_keybert_ranks_terms_by_their_cosine_to_the_centroid(spark):
+    import math
+
+    docs = spark.createDataFrame([(0, "a", "x"), (1, "a", "y"), (2, "b", "z")], "doc_id int, source string, text string")
+    space = {"x": [1.0, 0.0], "y": [1.0, 1.0], "z": [0.0, 1.0], "often": [0.0, 1.0], "near": [2.0, 1.0], "some": [1.0, -1.0]}
+    embed = lambda d, c: M.embed_with(d, c, lambda texts: [space[t] for t in texts])
+    weights = spark.createDataFrame([("a", "often", 9, 0.9), ("a", "near", 1, 0.1), ("a", "some", 5, 0.5), ("b", "often", 1, 0.1)], "topic string, term string, tf long, weight double")
+    sim = M.term_similarity(embed(docs, "text"), "source", weights, embed)
+    got = {(r.topic, r.term): r.sim for r in sim.collect()}
+    assert got.keys() == {("a", "often"), ("a", "near"), ("a", "some"), ("b", "often")}
+    assert abs(got["a", "near"] - 1) < 1e-6 and abs(got["a", "often"] - 1 / math.sqrt(5)) < 1e-6 and got["b", "often"] == 1
+    assert {r.topic: r.KeyBERT for r in M.keybert(weights, sim).collect()} == {"a": ["near", "often", "some"], "b": ["often"]}
+
+
+def test_keybert_column_is_no_copy_of_the_representation(spark):
+    from agora import catalog
+
+    rows = catalog._info(spark, "/root/testdata/sf0.001").select("Representation", "KeyBERT").collect()
+    assert rows and all(r.KeyBERT for r in rows) and any(r.KeyBERT != r.Representation for r in rows)
+
+
+def test_model_has_keybert_terms_of_its_own(spark):
+    from agora.config import TopicConfig
+    from agora.plans import stages
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").filter("lang = 'en'")
+    docs = docs.select("doc_id", F.col("text").alias("text_clean"), F.lit("en").alias("source_tag"), F.lit(2020).alias("created_year"), F.lit(True).alias("is_submission"))
+    cfg = TopicConfig(min_cluster_size=2, components=3)
+    stored = M.embed(docs, "text_clean").select("doc_id", "embedding")
+    for vectors in (None, stored):
+        rows = stages.model(docs, vectors, cfg)[1].select("Representation", "KeyBERT").collect()
+        assert rows and all(r.KeyBERT for r in rows) and any(r.KeyBERT != r.Representation for r in rows)
