@@ -271,6 +271,13 @@ def heatmap_pivot(spark, sf_dir):
     return r6(E.heatmap(B.doc_topics(spark, sf_dir), groups, 5), *groups)
 
 
+@query(f"WITH {_GROUPS}, top AS (SELECT topic_label_llm AS l FROM g GROUP BY topic, l ORDER BY sum(count) DESC, topic LIMIT 5), d AS (SELECT topic_label_llm, subreddit, share FROM diff WHERE topic_label_llm IN (SELECT l FROM top)), cells AS (SELECT t.l AS topic_label_llm, s.subreddit FROM top t, (SELECT DISTINCT subreddit FROM d WHERE subreddit IS NOT NULL) s) SELECT topic_label_llm, subreddit, round(coalesce(avg(share), 0), 6) AS share_within_group FROM cells LEFT JOIN d USING (topic_label_llm, subreddit) GROUP BY ALL")
+def heatmap_all(spark, sf_dir):
+    """The heatmap over all groups, a row for each cell; ``heatmap_pivot`` has the columns of four."""
+    d = E.heatmap(B.doc_topics(spark, sf_dir), None, 5)
+    return r6(d.unpivot(["topic_label_llm"], [f"`{c}`" for c in d.columns if c != "topic_label_llm"], "subreddit", "share_within_group"), "share_within_group")
+
+
 @query(f"WITH {B.DOC_TOPICS_SQL} SELECT CAST(least(floor(topic_probability_max * 30), 29) AS INTEGER) AS bin, count(*) AS n FROM doc_topics WHERE topic_probability_max IS NOT NULL GROUP BY ALL")
 def prob_histogram(spark, sf_dir):
     return E.histogram(B.doc_topics(spark, sf_dir))
@@ -479,6 +486,16 @@ def stage_pain_pivot(spark, sf_dir):
     return r6(out, "price_markup", "reliability_risk")
 
 
+_CODES = [p.code for p in (*R.PAINS, R.GENERAL)]
+
+
+@query(f"WITH {_PAINS} SELECT funnel_stage, " + ", ".join(f"round(coalesce(sum(topic_weight) FILTER (pain_point_code = '{c}'), 0), 6) AS {c}" for c in _CODES) + " FROM pains GROUP BY ALL")
+def stage_pain_pivot_all(spark, sf_dir):
+    """The stage by pain point table over all codes; ``stage_pain_pivot`` has two of them."""
+    p = N.pain_points(_assigned(spark, sf_dir))
+    return r6(p.groupBy("funnel_stage").pivot("pain_point_code", _CODES).agg(F.sum("topic_weight")).fillna(0.0), *_CODES)
+
+
 @query()
 def figure_pack_flows(spark, sf_dir):
     """The flows of the figure pack, one under another."""

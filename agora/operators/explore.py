@@ -124,10 +124,13 @@ def yearly_stats(docs: DataFrame, by_tag: bool = True) -> DataFrame:
     )
 
 
-def heatmap(docs: DataFrame, groups: list[str], n: int = 10, level: str = "subreddit", cfg: RefineConfig = RefineConfig()) -> DataFrame:
-    """Shares within group of the n most frequent topics: a row for each topic, a column for each given group, 0 where none."""
+def heatmap(docs: DataFrame, groups: list[str] | None = None, n: int = 10, level: str = "subreddit", cfg: RefineConfig = RefineConfig()) -> DataFrame:
+    """Shares within group of the n most frequent topics: a row for each topic, a column for each given group, 0 where none.
+    Without ``groups``, every group that has one of the topics is a column; rows of a null group have none."""
     top = top_topics(docs, n, cfg).select(F.col("topic_label_llm").alias("_l"))
     d = group_difference(docs, level, cfg).join(F.broadcast(top), F.col("topic_label_llm").eqNullSafe(F.col("_l")), "left_semi")
+    if groups is None:
+        groups = sorted(r[0] for r in d.select(level).distinct().collect() if r[0] is not None)
     return d.groupBy("topic_label_llm").pivot(level, groups).agg(F.avg("share_within_group")).fillna(0.0)
 
 

@@ -246,3 +246,21 @@ def test_model_has_keybert_terms_of_its_own(spark):
     for vectors in (None, stored):
         rows = stages.model(docs, vectors, cfg)[1].select("Representation", "KeyBERT").collect()
         assert rows and all(r.KeyBERT for r in rows) and any(r.KeyBERT != r.Representation for r in rows)
+
+
+def test_heatmap_has_all_groups(spark):
+    rows = [(i, t, f"topic_{t}", g) for i, (t, g) in enumerate([(0, "src0"), (0, "hot.one"), (1, "hot.one"), (1, None), (0, "src9"), (-1, "out")])]
+    docs = spark.createDataFrame(rows, "doc_id int, topic int, topic_label_llm string, subreddit string")
+    d = E.heatmap(docs)
+    assert d.columns == ["topic_label_llm", "hot.one", "src0", "src9"]
+    assert {r[0]: r[1:] for r in d.collect()} == {"topic_0": (0.5, 1.0, 1.0), "topic_1": (0.5, 0.0, 0.0)}
+
+
+def test_pivots_over_all_groups_and_codes(spark):
+    from agora import catalog
+    from agora.operators import funnel_rules as R
+
+    q, sf = catalog.queries(), "/root/testdata/sf0.001"
+    sources = {r[0] for r in spark.read.parquet(f"{sf}/documents.parquet").select("source").distinct().collect()}
+    assert {r.subreddit for r in q["heatmap_all"](spark, sf).collect()} == sources and len(sources) > 4
+    assert set(q["stage_pain_pivot_all"](spark, sf).columns) == {"funnel_stage", R.GENERAL.code} | {p.code for p in R.PAINS}
