@@ -90,6 +90,24 @@ def test_one_id_with_two_texts_has_the_links_of_both(spark):
     assert got == [(1, 1), (1, 1), (2, 1), (3, 3)]
 
 
+@pytest.mark.parametrize("seed", [1, 3])
+def test_ngram_join_links_through_null_ids(spark, seed):
+    texts = near_copies(seed, groups=4)
+    sets, r = plain_sets(texts), random.Random(seed)
+    ids = [None if r.random() < 0.4 else i for i in range(len(texts))]
+    want = collections.defaultdict(set)
+    for i, c in zip(ids, plain_components(sets), strict=True):
+        want[c] |= {i} - {None}
+    rows = [(i, t, "", "", 0) for i, t in zip(ids, texts, strict=True)]
+    got = collections.defaultdict(set)
+    found = ngram_join.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
+    for x in found:
+        if x.doc_id is not None:
+            got[x.component_id].add(x.doc_id)
+    assert len(found) == len(texts)
+    assert got == {min(x): x for x in want.values() if x}
+
+
 def test_long_texts_are_read_in_stretches(monkeypatch):
     import pyarrow as pa
 
