@@ -65,7 +65,7 @@ def near_copies(seed, groups=6, size=25, length=120):
 
 @pytest.mark.parametrize("seed", [1, 2])
 def test_ngram_join_is_exact(spark, seed, monkeypatch):
-    monkeypatch.setattr(ngram_join, "MEMBER_BLOCK", 16)
+    monkeypatch.setattr(ngram_join, "CROWD", 16)
     monkeypatch.setattr(ngram_join, "LIST_BLOCK", 8)
     texts = near_copies(seed)
     got = {r.doc_id: r for r in ngram_join.near_duplicates(table(spark, texts).withColumnRenamed("lang", "component_id")).collect()}
