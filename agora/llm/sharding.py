@@ -7,18 +7,21 @@ cut, all partitions count the rows and bytes below every probe, and the bounds
 close in, until each cut is within tolerance of its target or falls between two
 neighbouring keys. Then the rows are exchanged once, straight to their
 destination, and numbered there; the last round's exact counts give each
-destination its first slot.
+destination its first slot. A large shard has several destinations of about
+``part_bytes``, whose cuts are found alike with a wide tolerance; the driver holds
+the cuts, 32 bytes for each ``part_bytes`` of the table.
 
 ``law`` is ``bytes``: the shards' sizes are near equal (within the tolerance, or
 the largest single row where that is more). A size is the text's UTF-8 bytes plus
 16; a null text has no bytes. Null ids sort first. Rows with the same text and the
 same id are adjacent and may be cut nowhere between them, so they share a shard. An
-empty table gives no rows.
+empty table gives no rows; a long text is never cut, and may exceed a shard's share.
 """
 
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,8 +34,8 @@ ROW_BYTES = 16
 PROBES = 24
 #: How far a cut may be from its target, in parts of a shard's size.
 TOLERANCE = 0.0005
-#: Destinations of the exchange: each holds about this many bytes, up to MOST_PARTS in all.
-PART_BYTES, MOST_PARTS = 64 << 20, 8192
+#: Bytes that a destination of the exchange holds, about, and probes for each of its cuts in a round.
+PART_BYTES, PART_PROBES = 256 << 20, 4
 _SPAN = 1 << 64
 
 
@@ -81,7 +84,7 @@ def _below(keys: DataFrame, probes: list[int]) -> dict[int, tuple[int, int, int,
     return {probes[r.probe]: (r.n, r.s, int(r.u, 16) if r.u else -1, int(r.o, 16) if r.o else -1) for r in found}
 
 
-def find_cuts(keys: DataFrame, shares: list[float], total: int, tolerance: float) -> list[tuple[int, int]]:
+def find_cuts(keys: DataFrame, shares: list[float], total: int, tolerance: float, most_probes: int = PROBES) -> list[tuple[int, int]]:
     """For each share of all bytes: (composite key, rows below it), such that the bytes below it are
     nearest to the share, or within ``tolerance`` bytes of it."""
     targets = [share * total for share in shares]
@@ -95,27 +98,29 @@ def find_cuts(keys: DataFrame, shares: list[float], total: int, tolerance: float
                 continue
             a, b = low[k], high[k]
             width = b[0] - a[0]
-            if width <= PROBES:
+            if width <= most_probes:
                 probes |= set(range(a[0], b[0] + 1))
                 continue
             guess = a[0] + int(width * ((t - a[2]) / max(1, b[2] - a[2])))
-            spread = width / math.sqrt(PROBES * max(4.0, (b[2] - a[2]) / max(1.0, tolerance)))
-            near = [guess + int(spread * x) for x in range(-PROBES // 4, PROBES // 4 + 1)]
-            even = [a[0] + width * x // (PROBES // 2) for x in range(PROBES // 2 + 1)]
+            spread = width / math.sqrt(most_probes * max(4.0, (b[2] - a[2]) / max(1.0, tolerance)))
+            near = [guess + int(spread * x) for x in range(-most_probes // 4, most_probes // 4 + 1)]
+            even = [a[0] + width * x // (most_probes // 2) for x in range(most_probes // 2 + 1)]
             probes |= {min(max(p, a[0]), b[0]) for p in near + even}
         found = _below(keys, sorted(probes))
         points = sorted((p, n, s, u, o) for p, (n, s, u, o) in found.items())
+        sizes = [x[2] for x in points]
         for k, t in enumerate(targets):
             if k in done:
                 continue
-            for p, n, s, u, o in points:
-                if s <= t and p >= low[k][0]:
-                    # nothing lies between the probe and the next key, so the bound moves up to that key
-                    low[k] = (max(p, o), n, s)
-                elif s > t and p <= high[k][0]:
-                    # the greatest key below has its bytes counted in s
-                    high[k] = (u + 1, n, s)
-                    break
+            at = bisect_right(sizes, t)
+            if at and points[at - 1][0] >= low[k][0]:
+                # nothing lies between the probe and the next key, so the bound moves up to that key
+                p, n, s, _, o = points[at - 1]
+                low[k] = (max(p, o), n, s)
+            if at < len(points) and points[at][0] <= high[k][0]:
+                # the greatest key below has its bytes counted in s
+                _, n, s, u, _ = points[at]
+                high[k] = (u + 1, n, s)
             a, b = low[k], high[k]
             if t - a[2] <= tolerance:
                 done[k] = (a[0], a[1])
@@ -145,11 +150,15 @@ def shard(docs: DataFrame, n_shards: int, id_column: str = "doc_id", text_column
     scratch = Scratch(spark)
     keys = scratch.keep(docs.select(h.alias("h"), key.alias("id"), size.alias("size")))
     total, count = keys.agg(F.sum("size"), F.count("*")).first()
-    per = max(1, min(MOST_PARTS // n_shards, -(-(total or 0) // (n_shards * part_bytes))))
-    of = [k // per for k in range(n_shards * per)]
-    found = find_cuts(keys, [k / len(of) for k in range(1, len(of))], total, tolerance * total / n_shards) if count else []
-    before = [0, *[n for _, n in found]] if count else [0] * len(of)
-    starts = [before[k] - before[of[k] * per] for k in range(len(of))]
+    parts = -(-(total or 0) // part_bytes)
+    cuts = find_cuts(keys, [k / n_shards for k in range(1, n_shards)], total, tolerance * total / n_shards) if count else []
+    begins = [0, *[n for _, n in cuts]]  # of each shard, in rows
+    found, of = cuts, list(range(len(begins)))
+    if parts > n_shards:
+        inner = find_cuts(keys, [k / parts for k in range(1, parts)], total, part_bytes / 4, PART_PROBES)
+        found = sorted({*cuts, *inner})
+        of = [0, *[bisect_right(cuts, c) for c in found]]
+    starts = [n - begins[k] for (_, n), k in zip([(0, 0), *found], of, strict=True)]
     scratch.drop()
     wide = F.concat(F.lpad(F.hex(h), 16, "0"), F.lpad(F.hex(key.bitwiseXOR(F.lit(-(1 << 63)))), 16, "0"))
     part = _count_at_or_below([f"{c:032X}" for c, _ in found], wide) if found else F.lit(0)
