@@ -1,11 +1,12 @@
 """Toxicity scores from a weighted lexicon.
 
-Folding: lower case, look-alike letters of other scripts and digits or signs used
-as letters become plain letters, invisible characters become spaces. Folding is
-one character to one, so matches can be checked against the unfolded text: a match
-needs a letter there, a word border in front, and a whole-word entry also one
-behind. Matches inside an exception phrase don't count. All entries and exceptions
-are found in one Aho-Corasick pass. A text's evidence is the weight of its matches
+Folding: lower case; invisible characters and combining marks are deleted; letters
+with marks, look-alike letters of other scripts and digits or signs used as letters
+become plain letters. What may stand for i or for l is tried as both. Past the
+deletions folding is one character to one, so matches can be checked against the
+unfolded text: a match needs a letter there, no letter in front, and a whole-word
+entry also none behind. Matches inside an exception phrase don't count. All entries and exceptions
+are found in one Aho-Corasick pass (a second one for the other reading of a text with ``1`` or ``|`` in a word). A text's evidence is the weight of its matches
 per hundred words, and a logistic curve turns it into a score; with no match, as
 for an empty or null text, the score is the curve's value at no evidence.
 
@@ -14,12 +15,17 @@ a base list and finds further entries in labelled documents: features of toxic
 documents whose log-odds are high. A feature's support is counted in distinct
 sketches of documents, so a group of near copies can't make its own words toxic.
 At most ``most`` labelled rows are read, those with the smallest hash of their id.
+
+Each row is scored by itself: repeated rows, and texts that tie, get one score each,
+an empty table no rows, and a text of any length is read whole. Other columns of the
+input, whatever their names, take no part.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -46,12 +52,21 @@ LOOK_ALIKES = {
     "0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "€": "e", "|": "l", "¡": "i",
 }
 INVISIBLE = "­​‌‍⁠﻿"
-_FOLD = str.maketrans({**LOOK_ALIKES, **{chr(c): chr(c - 0xFEE0) for c in range(0xFF41, 0xFF5B)}, **dict.fromkeys(INVISIBLE, " ")})
+#: Letters that Unicode takes apart into a plain letter and marks, in the blocks of extended Latin.
+MARKED = {chr(c): d[0].lower() for c in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)) if (d := unicodedata.normalize("NFD", chr(c)))[0].isascii() and len(d) > 1}
+_FOLD = str.maketrans({**MARKED, **LOOK_ALIKES, **{chr(c): chr(c - 0xFEE0) for c in range(0xFF41, 0xFF5B)}})
+_FOLD_L = {**_FOLD, ord("1"): "l", ord("|"): "l"}
+_DELETED = re.compile(f"[{INVISIBLE}\u0300-\u036f]")
+_AS_L = re.compile(r"[^\W\d_][1|]|[1|][^\W\d_]")
 _WORD = re.compile(r"[^\W_]+")
 
 
+def plain(text: str) -> str:
+    return _DELETED.sub("", text.lower())
+
+
 def fold(text: str) -> str:
-    return text.lower().translate(_FOLD)
+    return plain(text).translate(_FOLD)
 
 
 @dataclass(frozen=True)
@@ -81,19 +96,19 @@ class Lexicon:
 
 def evidence(text: str, automaton) -> tuple[float, int]:
     """(weight per hundred words, matches). Of entries that begin at one place the heaviest counts."""
-    lower = text.lower()
-    folded = lower.translate(_FOLD)
+    lower = plain(text)
     skip: list[tuple[int, int]] = []
     best: dict[int, tuple[float, int]] = {}
-    n = len(folded)
-    for end, (length, weight, whole, entry) in automaton.iter(folded):
-        start = end + 1 - length
-        if start and folded[start - 1].isalnum() or whole and end + 1 < n and folded[end + 1].isalnum():
-            continue
-        if entry is None:
-            skip.append((start, end))
-        elif any(map(str.isalpha, lower[start : end + 1])) and weight > best.get(start, (0.0, 0))[0]:
-            best[start] = (weight, end)
+    n = len(lower)
+    for table in (_FOLD, _FOLD_L) if _AS_L.search(lower) else (_FOLD,):
+        for end, (length, weight, whole, entry) in automaton.iter(lower.translate(table)):
+            start = end + 1 - length
+            if start and lower[start - 1].isalpha() or whole and end + 1 < n and lower[end + 1].isalpha():
+                continue
+            if entry is None:
+                skip.append((start, end))
+            elif any(map(str.isalpha, lower[start : end + 1])) and weight > best.get(start, (0.0, 0))[0]:
+                best[start] = (weight, end)
     kept = [w for s, (w, e) in best.items() if not any(a <= s and e <= b for a, b in skip)]
     return 100.0 * sum(kept) / (len(lower.split()) + 20), len(kept)
 
