@@ -8,18 +8,27 @@ Fixed kinds, each leftmost and non-overlapping, with offsets in code points:
 
 ``random`` spans come from the battery. Stretches of the characters of the base64
 alphabets are parted at every inner ``=``, so that a name and its value are judged
-apart; a part that no single alphabet holds gives its longest runs of base64, of
-base64url and of letters and digits. A candidate is a part or run of at least
-``MIN_LENGTH`` characters that overlaps no fixed span and has letters and digits
-(or ``LETTERS_ONLY`` characters). The smallest encoding that holds it is inferred (hexadecimal, base32, base36, base64, letters), and
+apart; a part that mixes the alphabets of base64 and base64url is judged as a whole
+and by its longest runs of base64, of base64url and of letters and digits. A
+candidate is a part or run of at least ``MIN_LENGTH`` characters that overlaps no
+fixed span and has letters and digits (or ``LETTERS_ONLY`` characters). The smallest
+encoding that holds it is inferred (hexadecimal, base32, base36, base64, letters), and
 three tests ask whether it is uniform in that alphabet: chi-squared over the
 symbols, runs above and below the middle, and lag-1 serial correlation. Fisher's
-method joins the p-values. All candidates of a text are then decided together by
-the Benjamini-Hochberg rule with weights in proportion to length, so that of the
-candidates dismissed as natural only a share ``FDR`` is expected to be random;
-the others are spans, overlapping ones joined.
-
-Null texts count as empty and have no spans. Rows are kept, repeated ones too.
+method joins the p-values, and candidates below ``ALPHA`` aren't random.
+
+The error that is controlled is that of reporting a natural token. How natural a
+token is, is the chance that a simple model of names, words and numbers gives it.
+The likelihood ratio of that model against the uniform one has a mean of at most 1
+for tokens of the model, so it is a p-value of being natural, at any length and
+whatever the encoding. The candidates of a text that passed the battery are decided
+together by the Benjamini-Hochberg rule at ``FDR`` with weights in proportion to
+length; those found not to be natural are spans, overlapping ones joined, but a
+whole part is dropped for a run in it.
+
+Null texts count as empty and have no spans. Rows are kept, repeated ones too, and an
+empty table gives none. A text of any length is scanned whole. Other input columns
+take no part in ``find_secrets``, whatever their names.
 """
 
 from __future__ import annotations
@@ -42,9 +51,9 @@ ASSIGN_VALUE, ACCESS_LENGTH, HEX_LENGTH = 8, 16, 32
 WORDS = ("passw", "secret", "token", "apikey", "api_key")
 KINDS = ("assign", "access", "hex", "random")
 
-MIN_LENGTH, LETTERS_ONLY, FDR = 20, 32, 0.05
+MIN_LENGTH, LETTERS_ONLY, FDR, ALPHA = 20, 32, 0.05, 0.001
 CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{MIN_LENGTH},}}")
-#: What a stretch is parted into (``=`` at its end is padding), and the runs of a part that no alphabet holds.
+#: What a stretch is parted into (``=`` at its end is padding), and the runs of a part that mixes alphabets.
 PART = re.compile(r"[^=]+(?:=+\Z)?")
 RUNS = tuple(re.compile(rf"[A-Za-z0-9{more}]{{{MIN_LENGTH},}}") for more in ("+/", "_-", ""))
 #: Encodings from the smallest alphabet up.
@@ -60,7 +69,14 @@ ALPHABETS = (
     ("base62", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"),
     ("base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
     ("base64url", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"),
+    ("mixed", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_"),
 )
+#: Of the model of natural tokens: letters' shares in per cent, and how often a lower-case letter, a capital, a digit
+#: or a sign follows on each of them.
+LETTERS = dict(zip("abcdefghijklmnopqrstuvwxyz", (8.2, 1.5, 2.8, 4.3, 12.7, 2.2, 2.0, 6.1, 7.0, 0.2, 0.8, 4.0, 2.4, 6.7, 7.5, 1.9, 0.1, 6.0, 6.3, 9.1, 2.8, 1.0, 2.4, 0.2, 2.0, 0.1), strict=True))
+FOLLOWS = {"a": {"a": 0.90, "A": 0.03, "0": 0.03, "-": 0.04}, "A": {"a": 0.55, "A": 0.35, "0": 0.05, "-": 0.05}, "0": {"a": 0.06, "A": 0.04, "0": 0.75, "-": 0.15}, "-": {"a": 0.55, "A": 0.20, "0": 0.20, "-": 0.05}}
+#: The share of a class's chance that is spread evenly, for letters that other languages use more often.
+EVEN = 0.2
 _INDEX = [(name, {c: i for i, c in enumerate(a)}) for name, a in ALPHABETS]
 
 
@@ -118,8 +134,34 @@ def battery(token: str) -> float:
     return chi_squared_tail(-2 * sum(math.log(max(p, 1e-300)) for p in (chi, runs, serial)), 6)
 
 
-def dismissed(p_values: list[float], lengths: list[int], fdr: float = FDR) -> set[int]:
-    """Positions whose uniformity is rejected by the length-weighted Benjamini-Hochberg rule."""
+def _kind(c: str) -> str:
+    return "a" if c.islower() else "A" if c.isupper() else "0" if c.isdigit() else "-"
+
+
+def _within(c: str) -> float:
+    """The chance of a character among those of its kind."""
+    if c.isalpha():
+        return (1 - EVEN) * LETTERS[c.lower()] / sum(LETTERS.values()) + EVEN / 26
+    return 0.1 if c.isdigit() else 0.2
+
+
+_CHARACTERS = "".join(a for name, a in ALPHABETS if name == "mixed")
+_STEP = {(x, y): math.log(FOLLOWS[_kind(x)][_kind(y)] * _within(y)) for x in _CHARACTERS for y in _CHARACTERS}
+_START = {c: math.log(0.25 * _within(c)) for c in _CHARACTERS}
+
+
+def naturalness(token: str) -> float:
+    """The likelihood ratio of the natural model against the uniform one, at most 1: a p-value of being natural."""
+    token = token.rstrip("=")
+    found = encoding(token)
+    if not token or found is None:
+        return 1.0
+    ratio = _START[token[0]] + sum(map(_STEP.__getitem__, zip(token, token[1:], strict=False))) + len(token) * math.log(len(found[1]))
+    return math.exp(min(0.0, ratio))
+
+
+def rejected(p_values: list[float], lengths: list[int], fdr: float = FDR) -> set[int]:
+    """Positions that the length-weighted Benjamini-Hochberg rule rejects."""
     n, mean = len(p_values), sum(lengths) / max(1, len(lengths))
     weighted = sorted((p * mean / length, k) for k, (p, length) in enumerate(zip(p_values, lengths, strict=True)))
     last = max((r for r, (p, _) in enumerate(weighted, 1) if p <= fdr * r / n), default=0)
@@ -127,14 +169,13 @@ def dismissed(p_values: list[float], lengths: list[int], fdr: float = FDR) -> se
 
 
 def parts(stretch: str) -> list[tuple[int, int]]:
-    """(start, end) of what is judged in a stretch: its parts between ``=``, or their runs where no alphabet holds a part."""
+    """(start, end) of what is judged in a stretch: its parts between ``=``, and the runs of those that mix alphabets."""
     out = []
     for m in PART.finditer(stretch):
         if len(m[0]) < MIN_LENGTH:
             continue
-        if encoding(m[0]):
-            out.append(m.span())
-        else:
+        out.append(m.span())
+        if (found := encoding(m[0])) and found[0] == "mixed":
             out += sorted({(m.start() + r.start(), m.start() + r.end()) for pattern in RUNS for r in pattern.finditer(m[0])})
     return out
 
@@ -166,10 +207,12 @@ def scan(text: str) -> list[tuple[int, int, int]]:
         token = text[a:b]
         mixed = any(c.isdigit() for c in token) and any(c.isalpha() for c in token)
         if (mixed or (b - a >= LETTERS_ONLY and not token.isdigit())) and not any(s < b and a < e for s, _, e in base):
-            tested.append((a, b, battery(token)))
+            if battery(token) >= ALPHA:
+                tested.append((a, b, naturalness(token)))
     if tested:
-        out = dismissed([p for _, _, p in tested], [b - a for a, b, _ in tested])
-        spans += [(a, 3, b) for a, b in united([(a, b) for k, (a, b, _) in enumerate(tested) if k not in out])]
+        kept = rejected([p for _, _, p in tested], [b - a for a, b, _ in tested])
+        found = [(a, b) for k, (a, b, _) in enumerate(tested) if k in kept]
+        spans += [(a, 3, b) for a, b in united([(a, b) for a, b in found if not any(a <= x and y <= b and (a, b) != (x, y) for x, y in found)])]
     return sorted(spans)
 
 
