@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 TEMPERATURE = 0.7
 BLOCK_ROWS = 16
 #: Rows that a bucket is to hold, in the mean.
-BUCKET_ROWS = 4_000
+BUCKET_ROWS = 1_000
 #: Blocks of a batch of the schedule.
 BATCH_BLOCKS = 8_192
 
