@@ -37,10 +37,9 @@ def units(x):
 
 
 def cosines(x, y):
-    """cos of each row of x with vector y, from the original values; alike for equal rows."""
+    """cos of each row of x with vector y, from the original values; alike for equal rows, whatever the others."""
     import numpy as np
 
     a, b = np.abs(x).max(axis=1), np.abs(y).max()
     x, y = x / a[:, None], y / b
-    dot = np.einsum("ij,j->i", x, y)
-    return dot / (np.sqrt(np.einsum("ij,ij->i", x, x)) * np.sqrt(np.dot(y, y)))
+    return (x * y).sum(axis=1) / (np.sqrt((x * x).sum(axis=1)) * np.sqrt((y * y).sum()))
