@@ -10,8 +10,9 @@ as the next one's input.
 4. mixing       rows are put in the order of a mix by target weights
 5. bpe          ids and decoded text under the word vocabulary
 
-All rows with a null id stay through stage 2, as do those with an empty text. Of
-rows that repeat an id, stage 2 keeps one if their set is kept at all.
+Texts, not ids, decide in stage 2: of each group of near-duplicate texts one row
+stays, that with the least id (one without an id only if none has one), and texts
+without words all stay. Other columns than those of ``documents`` are carried along.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from agora.llm.common import Scratch, table
 #: Ids up to this many are broadcast (8 bytes each); beyond it, joined by shuffle.
 MOST_BROADCAST = 1_000_000
 MASK = "[secret]"
+#: The column that holds a text's class of sets for a while.
+CLASS = "__class"
 
 
 def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,16 +37,25 @@ def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def stage_ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = ngram_join.near_duplicates(docs)
-    gone = found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
+    found = ngram_join.near_duplicates(docs, by_id=False)
+    linked = found.filter("group is not null").select("doc_id", "cls", "group")
+    first = linked.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "cls")).alias("first")).select("group", "first.*")
+    several = found.groupBy("doc_id").count().filter("count > 1 or doc_id is null").select("doc_id")
+    stays = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("cls") == F.col("_cls"))
+    gone = linked.join(first.select("group", F.col("doc_id").alias("_id"), F.col("cls").alias("_cls")), "group").filter(~stays).select("doc_id")
+    gone = gone.filter("doc_id is not null").distinct()
     if gone.count() <= MOST_BROADCAST:
         gone = F.broadcast(gone)
-    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    repeated = found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    if repeated.isEmpty():
-        return kept
-    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(repeated, "doc_id", "left_anti").select(docs.columns).unionByName(once.select(docs.columns))
+    if several.isEmpty():
+        return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    # an id with several rows, or a null one, doesn't tell its texts apart: these rows are judged by their sets
+    repeated = several.filter("doc_id is not null")
+    plain = docs.filter("doc_id is not null").join(repeated, "doc_id", "left_anti").join(gone, "doc_id", "left_anti").select(docs.columns)
+    odd = docs.filter("doc_id is null").unionByName(docs.join(repeated, "doc_id", "left_semi").select(docs.columns))
+    classed = ngram_join.with_class(odd, CLASS)
+    chosen = first.select(F.col("doc_id").alias("_id"), F.col("cls").alias("_cls"))
+    kept = classed.join(chosen, (F.col(CLASS) == F.col("_cls")) & F.col("doc_id").eqNullSafe(F.col("_id"))).dropDuplicates([CLASS])
+    return plain.unionByName(kept.select(docs.columns)).unionByName(classed.filter(F.col(CLASS).isNull()).select(docs.columns))
 
 
 def stage_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
