@@ -7,6 +7,7 @@ from dataclasses import replace
 
 from agora import session
 from agora.config import LabelerConfig, RefineConfig, TopicConfig
+from agora.operators import labeling
 from agora.operators.labeling import CallLog, RateLimiter
 from agora.plans import stages
 from agora.sources import forum
@@ -33,11 +34,14 @@ def parser() -> argparse.ArgumentParser:
     f.add_argument("--min-interval", type=float, default=LabelerConfig.min_interval_s)
     f.add_argument("--daily-limit", type=int, default=LabelerConfig.calls_per_day)
     f.add_argument("--call-log")
+    f.add_argument("--labeler", default="stub", help="stub, or module:function of a backend")
     e = sub.add_parser("explore")
     for name in ("documents", "topics", "output"):
         e.add_argument(f"--{name}", required=True)
     e.add_argument("--min-docs", type=int, default=RefineConfig.min_docs)
     e.add_argument("--confidence", type=float)
+    e.add_argument("--top-overall", type=int, default=RefineConfig.top_n_overall)
+    e.add_argument("--top-trend", type=int, default=RefineConfig.top_n_trend)
     e.add_argument("--include-outliers", action="store_true")
     n = sub.add_parser("funnel")
     n.add_argument("--topics", required=True)
@@ -59,11 +63,11 @@ def main(argv: list[str] | None = None) -> None:
         stages.reload(spark, a.documents, a.embeddings, a.output, replace(TopicConfig(), **changed))
     elif a.stage == "refine":
         calls = LabelerConfig(min_interval_s=a.min_interval, calls_per_day=a.daily_limit)
-        limiter = (lambda: RateLimiter(calls, CallLog(a.call_log))) if a.call_log else None
-        refined, labelled = stages.label(spark.read.parquet(a.topics), limiter=limiter, calls=calls)
+        limiter = None if a.labeler == "stub" and not a.call_log else RateLimiter(calls, CallLog(a.call_log) if a.call_log else None)
+        refined, labelled = stages.label(spark.read.parquet(a.topics), labeling.find(a.labeler), limiter, calls=calls)
         forum.write_workbook({"topic_labels_refined": refined, "topic_labels_llm": labelled}, a.output, "parquet")
     elif a.stage == "explore":
-        cfg = RefineConfig(min_docs=a.min_docs, confidence_threshold=a.confidence, exclude_outliers=not a.include_outliers)
+        cfg = RefineConfig(top_n_overall=a.top_overall, top_n_trend=a.top_trend, min_docs=a.min_docs, confidence_threshold=a.confidence, exclude_outliers=not a.include_outliers)
         stages.explore_all(spark.read.parquet(a.documents), spark.read.parquet(a.topics), a.output, cfg)
     else:
         stages.funnel_all(spark.read.parquet(a.topics), a.output, a.weight, not a.include_outliers, a.top_topics)

@@ -125,8 +125,7 @@ _REMOVED = "CASE " + " ".join(f"WHEN NOT ({cond}) THEN '{name}'" for name, cond
 
 
 def cascade(spark, sf_dir):
-    tagged = C.tag_cascade(canon(spark, sf_dir), CFG)
-    return tagged, C.dedup(tagged.filter("removed_by IS NULL"), CFG, ["doc_id"])
+    return C.cascade(B.posts(spark, sf_dir), CFG, ["doc_id"])
 
 
 @query(f"WITH {_CASCADE} SELECT doc_id, n_tokens FROM kept")
@@ -508,7 +507,7 @@ def figure_pack_flows(spark, sf_dir):
 
 
 def _counts(spark, sf_dir):
-    return M.term_counts(B.words_by_source(spark, sf_dir), "source", M.words(F.col("text")))
+    return M.term_counts(B.read(spark, sf_dir, "documents"), "source", M.words(F.col("text")))
 
 
 _CTFIDF = f"{B.COUNTS_SQL}, w AS (SELECT topic, term, tf, tf / sum(tf) OVER (PARTITION BY topic) * ln(1 + (SELECT avg(s) FROM (SELECT sum(tf) AS s FROM counts GROUP BY topic)) / sum(tf) OVER (PARTITION BY term)) AS weight FROM counts), top AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY round(weight, 9) DESC, term) AS r FROM w)"
@@ -519,29 +518,47 @@ def ctfidf_words(spark, sf_dir):
     return r6(M.ctfidf(_counts(spark, sf_dir)), "weight")
 
 
-@query(f"WITH {_CTFIDF}, c AS (SELECT source AS topic, count(*) AS n FROM documents WHERE lang = 'en' GROUP BY ALL) SELECT top.topic AS \"Topic\", any_value(n) AS \"Count\", top.topic || '_' || string_agg(term, '_' ORDER BY r) FILTER (r <= 4) AS \"Name\", string_agg(term, ',' ORDER BY r) AS words FROM top JOIN c ON c.topic = top.topic WHERE r <= 10 GROUP BY top.topic")
+@query(f"WITH {_CTFIDF}, c AS (SELECT source AS topic, count(*) AS n FROM documents GROUP BY ALL) SELECT top.topic AS \"Topic\", any_value(n) AS \"Count\", top.topic || '_' || string_agg(term, '_' ORDER BY r) FILTER (r <= 4) AS \"Name\", string_agg(term, ',' ORDER BY r) AS words FROM top JOIN c ON c.topic = top.topic WHERE r <= 10 GROUP BY top.topic")
 def topic_info(spark, sf_dir):
-    d = B.words_by_source(spark, sf_dir)
+    d = B.read(spark, sf_dir, "documents")
     info = M.topic_info(d, M.ctfidf(_counts(spark, sf_dir)), "source")
     return info.select("Topic", "Count", "Name", F.array_join("Representation", ",").alias("words"))
 
 
-@query("""WITH tk AS (SELECT source AS topic, list_filter(regexp_extract_all(lower(text), '[a-z][a-z]+'), lambda x: NOT list_contains(['the', 'and', 'of', 'to', 'in'], x)) AS t FROM documents WHERE lang = 'en'),
+@query("""WITH tk AS (SELECT source AS topic, list_filter(regexp_extract_all(lower(text), '[a-z][a-z]+'), lambda x: NOT list_contains(['the', 'and', 'of', 'to', 'in'], x)) AS t FROM documents),
 g AS (SELECT topic, unnest(list_concat(t, list_transform(range(1, greatest(len(t), 1)), lambda i: t[i] || ' ' || t[i + 1]))) AS term FROM tk), c AS (SELECT topic, term, count(*) AS tf FROM g GROUP BY ALL),
 d AS (SELECT term, count(*) AS df FROM c GROUP BY ALL) SELECT topic, term, tf FROM c WHERE term IN (SELECT term FROM d WHERE df >= 5 AND df <= 0.95 * (SELECT count(DISTINCT topic) FROM c))""")
 def count_vectorizer(spark, sf_dir):
     grams = M.ngrams(M.words(F.col("text")), 2, ["the", "and", "of", "to", "in"])
-    return M.vectorized(M.term_counts(B.words_by_source(spark, sf_dir), "source", grams), TopicConfig())
+    return M.vectorized(M.term_counts(B.read(spark, sf_dir, "documents"), "source", grams), TopicConfig())
 
 
-@query("""WITH tok AS (SELECT source AS topic, CAST(2013 + doc_id % 4 AS INTEGER) AS bin, unnest(regexp_extract_all(lower(text), '[a-z][a-z]+')) AS term FROM documents WHERE lang = 'en'), tf AS (SELECT topic, bin, term, count(*) AS tf FROM tok GROUP BY ALL),
+@query("""WITH tok AS (SELECT source AS topic, CAST(2013 + doc_id % 4 AS INTEGER) AS bin, unnest(regexp_extract_all(lower(text), '[a-z][a-z]+')) AS term FROM documents), tf AS (SELECT topic, bin, term, count(*) AS tf FROM tok GROUP BY ALL),
 w AS (SELECT *, tf / sum(tf) OVER (PARTITION BY topic, bin) * ln(1 + (SELECT avg(s) FROM (SELECT sum(tf) AS s FROM tf GROUP BY topic)) / sum(tf) OVER (PARTITION BY term)) AS weight FROM tf)
 SELECT topic, bin, term, tf, round(weight, 6) AS weight, CAST(row_number() OVER (PARTITION BY topic, bin ORDER BY round(weight, 9) DESC, term) AS INTEGER) AS rank FROM w QUALIFY rank <= 5""")
 def topics_over_time(spark, sf_dir):
-    d = B.words_by_source(spark, sf_dir).withColumn("bin", (2013 + F.col("doc_id") % 4).cast("int"))
+    d = B.read(spark, sf_dir, "documents").withColumn("bin", (2013 + F.col("doc_id") % 4).cast("int"))
     return r6(M.topics_over_time(d, "source", "bin", M.words(F.col("text"))), "weight")
 
 
+_BINNED = """tok AS (SELECT source AS topic, doc_id * 37 % 4380 AS day, regexp_extract_all(lower(text), '[a-z][a-z]+') AS t FROM documents),
+edge AS (SELECT min(day) AS low, max(day) AS high FROM tok),
+tf AS (SELECT topic, bin, term, count(*) AS tf FROM (SELECT topic, CAST(least(7, floor((day - low) * 8.0 / (high - low))) AS INTEGER) AS bin, unnest(t) AS term FROM tok, edge) GROUP BY ALL)"""
+
+
+@query(f"""WITH {_BINNED}, t AS (SELECT topic, term, sum(tf) AS n FROM tf GROUP BY ALL), g AS (SELECT topic, term, n / sum(n) OVER (PARTITION BY topic) AS share, sum(n) OVER (PARTITION BY term) AS f FROM t),
+w AS (SELECT topic, bin, term, tf, (tf / sum(tf) OVER (PARTITION BY topic, bin) + share) / 2 * ln(1 + (SELECT avg(s) FROM (SELECT sum(tf) AS s FROM tf GROUP BY topic)) / f) AS weight FROM tf JOIN g USING (topic, term))
+SELECT topic, bin, term, tf, round(weight, 6) AS weight, CAST(row_number() OVER (PARTITION BY topic, bin ORDER BY round(weight, 9) DESC, term) AS INTEGER) AS rank FROM w QUALIFY rank <= 5""")
+def topics_over_time_bins(spark, sf_dir):
+    d = M.time_bins(B.read(spark, sf_dir, "documents").withColumn("day", F.col("doc_id") * 37 % 4380), "day", 8)
+    return r6(M.topics_over_time(d, "source", "bin", M.words(F.col("text")), global_tuning=True), "weight")
+
+
+@query(f"WITH {B.DOC_TOPICS_SQL} SELECT count(*) AS n_rows, array_to_string(list_sort(list(DISTINCT source_tag)), ',') AS source_tags, count(DISTINCT topic) FILTER (topic <> -1) AS n_topics FROM doc_topics")
+def summary_counts(spark, sf_dir):
+    return E.summary_counts(B.doc_topics(spark, sf_dir)).withColumn("source_tags", F.array_join("source_tags", ","))
+
+
 @query(f"WITH {B.COUNTS_SQL}, d AS (SELECT term, count(*) AS df FROM counts GROUP BY ALL), w AS (SELECT topic, term, tf * (ln((1 + (SELECT count(DISTINCT topic) FROM counts)) / (1 + df)) + 1) AS w FROM counts JOIN d USING (term)), n AS (SELECT topic, term, w / sqrt(sum(w * w) OVER (PARTITION BY topic)) AS w FROM w) SELECT a.topic AS topic_a, b.topic AS topic_b, round(round(sum(a.w * b.w), 4), 3) AS similarity FROM n a JOIN n b ON a.term = b.term AND a.topic < b.topic GROUP BY ALL HAVING sum(a.w * b.w) >= 0.55")
 def tfidf_merge(spark, sf_dir):
     pairs = M.merge_pairs(M.tfidf(_counts(spark, sf_dir)), RefineConfig(merge_top_pairs=1_000_000))
@@ -561,7 +578,7 @@ def _similarity(docs: DataFrame, weights: DataFrame) -> DataFrame:
 @query()
 def keybert_terms(spark, sf_dir):
     w = M.ctfidf(_counts(spark, sf_dir))
-    sim = _similarity(B.words_by_source(spark, sf_dir), w)
+    sim = _similarity(B.read(spark, sf_dir, "documents"), w)
     return M.keyterms(w, sim)
 
 
@@ -602,6 +619,11 @@ def topic_reduce(spark, sf_dir):
     return M.reduce_topics(M.tfidf(_counts(spark, sf_dir)), 5)
 
 
+@query()
+def topic_reduce_auto(spark, sf_dir):
+    return M.reduce_topics(M.tfidf(_counts(spark, sf_dir)), "auto")
+
+
 @query()
 def topic_hierarchy(spark, sf_dir):
     return spark.createDataFrame(M.hierarchy(M.tfidf(_counts(spark, sf_dir))), "parent int, left int, right int, similarity double")
@@ -609,10 +631,10 @@ def topic_hierarchy(spark, sf_dir):
 
 def _info(spark, sf_dir):
     terms = M.ngrams(M.words(F.col("text")), 1, M.stopwords())
-    w = M.ctfidf(M.term_counts(B.words_by_source(spark, sf_dir), "source", terms))
+    w = M.ctfidf(M.term_counts(B.read(spark, sf_dir, "documents"), "source", terms))
     order = F.regexp_extract("Topic", r"(\d+)", 1).cast("int")
-    info = M.topic_info(B.words_by_source(spark, sf_dir), w, "source", "text").withColumn("Name", F.regexp_replace("Name", "^src", "")).withColumn("Topic", order)
-    m = M.mmr(w).join(M.keybert(w, _similarity(B.words_by_source(spark, sf_dir), w)), "topic").select(F.regexp_extract("topic", r"(\d+)", 1).cast("int").alias("_t"), "MMR", "KeyBERT")
+    info = M.topic_info(B.read(spark, sf_dir, "documents"), w, "source", "text").withColumn("Name", F.regexp_replace("Name", "^src", "")).withColumn("Topic", order)
+    m = M.mmr(w).join(M.keybert(w, _similarity(B.read(spark, sf_dir, "documents"), w)), "topic").select(F.regexp_extract("topic", r"(\d+)", 1).cast("int").alias("_t"), "MMR", "KeyBERT")
     return M.fallback_label(info.join(m, F.col("Topic") == F.col("_t")).drop("_t"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from agora import config
 from agora.config import CorpusConfig
 from agora.functions import text as T
+from agora.written import written
 
 COLUMNS = (
     "doc_id", "is_submission", "subreddit", "source_tag", "created_dt", "created_year", "created_month", "author", "author_deleted", "score",
@@ -19,6 +20,10 @@ def _get(df: DataFrame, name: str | None, kind: str = "string") -> Column:
     return F.col(f"`{name}`") if name in df.columns else F.lit(None).cast(kind)
 
 
+def _numbered(df: DataFrame) -> list[Column]:
+    return [F.col(c) for c in ("_row_idx",) if c in df.columns]
+
+
 def from_submissions(df: DataFrame, author="author", title="title", body="text", created="created", score="score", link="link", url="url", group="subreddit", tag="source_tag") -> DataFrame:
     """Raw submissions as canonical rows; missing columns are null."""
     head = T.strip(F.coalesce(_get(df, title).cast("string"), F.lit("")))
@@ -27,7 +32,7 @@ def from_submissions(df: DataFrame, author="author", title="title", body="text",
     return df.select(
         F.lit(True).alias("is_submission"), _get(df, group).alias("subreddit"), _get(df, tag).alias("source_tag"), _get(df, created).alias("created"),
         _get(df, author).alias("author"), _get(df, score).try_cast("double").alias("score"), _get(df, link).alias("link"), _get(df, url).alias("url"),
-        _get(df, title).alias("title"), _get(df, body).alias("selftext"), T.strip(F.concat(head, F.lit(" "), text)).alias("text_raw"),
+        _get(df, title).alias("title"), _get(df, body).alias("selftext"), T.strip(F.concat(head, F.lit(" "), text)).alias("text_raw"), *_numbered(df),
     )
 
 
@@ -36,7 +41,7 @@ def from_comments(df: DataFrame, author="author", body="body", created="created"
     return df.select(
         F.lit(False).alias("is_submission"), _get(df, group).alias("subreddit"), _get(df, tag).alias("source_tag"), _get(df, created).alias("created"),
         _get(df, author).alias("author"), _get(df, score).try_cast("double").alias("score"), _get(df, link).alias("link"), none.alias("url"),
-        none.alias("title"), none.alias("selftext"), F.coalesce(_get(df, body).cast("string"), F.lit("")).alias("text_raw"),
+        none.alias("title"), none.alias("selftext"), F.coalesce(_get(df, body).cast("string"), F.lit("")).alias("text_raw"), *_numbered(df),
     )
 
 
@@ -110,23 +115,38 @@ def is_generic(cfg: CorpusConfig = CorpusConfig()) -> Column:
     return ~F.col("is_submission") & (hit | (n <= 5) & bare.isin(*config.QUICK_REACTIONS))
 
 
+#: Filters by name, in order; each but that of comment scores is a condition on a row alone.
 REASONS = ("too_few_tokens", "low_submission_score", "low_comment_score", "year_out_of_range", "bot", "generic_comment")
 
 
-def tag_cascade(df: DataFrame, cfg: CorpusConfig = CorpusConfig()) -> DataFrame:
-    """``removed_by``: the first filter that removes a row, null if none does. The comment threshold comes from
-    rows that the first two filters keep."""
-    first = enough_tokens(cfg) & submission_score(cfg)
-    d = with_comment_threshold(df, cfg, first)
-    checks = (enough_tokens(cfg), submission_score(cfg), comment_score(), year_range(cfg), ~is_bot(cfg), ~is_generic(cfg))
+def judge(df: DataFrame, cfg: CorpusConfig = CorpusConfig()) -> DataFrame:
+    """``failed``: the names of the filters that a row fails by itself; ``text_dedup``: the text in normal form."""
+    checks = {"too_few_tokens": enough_tokens(cfg), "low_submission_score": submission_score(cfg), "year_out_of_range": year_range(cfg), "bot": ~is_bot(cfg), "generic_comment": ~is_generic(cfg)}
+    failed = F.array_compact(F.array(*[F.when(keep, F.lit(None)).otherwise(F.lit(name)) for name, keep in checks.items()]))
+    return df.withColumns({"failed": failed, "text_dedup": T.normalized(F.col("text_clean"))})
+
+
+def tag_cascade(judged: DataFrame, cfg: CorpusConfig = CorpusConfig()) -> DataFrame:
+    """``removed_by``: the first filter that removes a judged row, null if none does. The comment threshold comes
+    from rows that the first two filters keep."""
+    fails = lambda name: F.array_contains("failed", name)
+    d = with_comment_threshold(judged, cfg, ~fails(REASONS[0]) & ~fails(REASONS[1]))
     chain = F.lit(None).cast("string")
-    for name, keep in reversed(list(zip(REASONS, checks, strict=True))):
-        chain = F.when(~keep, name).otherwise(chain)
-    return d.withColumn("removed_by", chain)
+    for name in reversed(REASONS):
+        chain = F.when(~comment_score() if name == "low_comment_score" else fails(name), name).otherwise(chain)
+    return d.withColumn("removed_by", chain).drop("failed", "score_threshold")
+
+
+def cascade(df: DataFrame, cfg: CorpusConfig, order, entities: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(all rows with ``removed_by``, those that stay after dedup) from canonical raw rows with created_dt. Cleaning is the
+    costly part, so what it gives is written once; thresholds, tags and dedup read the columns they need from there."""
+    tagged = tag_cascade(written(judge(derive(df, cfg, entities), cfg)), cfg)
+    return tagged, dedup(tagged.filter("removed_by IS NULL"), cfg, order)
 
 
 def keep_one(df: DataFrame, keys, order, keep: str = "first") -> DataFrame:
-    """One row for each key, the first or last by ``order`` (unlike dropDuplicates, always the same one)."""
+    """One row for each key, the first or last by ``order`` (unlike dropDuplicates, always the same one). Tasks drop
+    all but their own first row of a key before the exchange, so a common key isn't gathered."""
     o = [F.col(c).asc() if keep == "first" else F.col(c).desc() for c in order]
     return df.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*o))).filter("_r = 1").drop("_r")
 
@@ -142,7 +162,7 @@ def keep_none(df: DataFrame, keys) -> DataFrame:
 
 
 def dedup(df: DataFrame, cfg: CorpusConfig, order) -> DataFrame:
-    d = df.withColumn("text_dedup", T.normalized(F.col("text_clean")))
+    d = df if "text_dedup" in df.columns else df.withColumn("text_dedup", T.normalized(F.col("text_clean")))
     keys = cfg.dedup_keys or ((cfg.dedup_on,) if cfg.dedup_on else None)
     if keys is None:
         return d
@@ -176,8 +196,7 @@ def _added(*wide: DataFrame) -> DataFrame:
 
 def build(df: DataFrame, cfg: CorpusConfig = CorpusConfig(), order=("_file_idx", "_row_idx"), entities: bool = True) -> tuple[DataFrame, DataFrame]:
     """(documents, statistics) from canonical raw rows with created_dt."""
-    tagged = tag_cascade(derive(df, cfg, entities), cfg)
-    final = dedup(tagged.filter("removed_by IS NULL"), cfg, order)
+    tagged, final = cascade(df, cfg, order, entities)
     flags = {"doc_id": document_id(), "is_bot": F.lit(False), "is_generic_comment": F.lit(False)}
     out = final.withColumns({k: v for k, v in flags.items()})
     for c in COLUMNS:

@@ -124,6 +124,11 @@ def yearly_stats(docs: DataFrame, by_tag: bool = True) -> DataFrame:
     )
 
 
+def summary_counts(df: DataFrame) -> DataFrame:
+    """(n_rows, source_tags, n_topics): rows, the sorted distinct source tags, and distinct topics without outliers."""
+    return df.agg(F.count("*").alias("n_rows"), F.array_sort(F.collect_set("source_tag")).alias("source_tags"), F.count_distinct(F.when(F.col("topic") != -1, F.col("topic"))).alias("n_topics"))
+
+
 def heatmap(docs: DataFrame, groups: list[str] | None = None, n: int = 10, level: str = "subreddit", cfg: RefineConfig = RefineConfig()) -> DataFrame:
     """Shares within group of the n most frequent topics: a row for each topic, a column for each given group, 0 where none.
     Without ``groups``, every group that has one of the topics is a column; rows of a null group have none."""

@@ -89,15 +89,23 @@ def links(flow: DataFrame) -> DataFrame:
     return flow.join(a, "source").join(b, "target").select("source", "target", "value", "source_idx", "target_idx")
 
 
-def table(df: DataFrame, columns=None, rows: int = 12, rounded=()) -> DataFrame:
-    """A table as shown: chosen columns, the first rows, numbers with three decimals."""
+def table(df: DataFrame, columns=None, rows: int = 12, rounded=(), order=(), percents=()) -> DataFrame:
+    """A table as shown: chosen columns, the first rows by ``order`` (else by the columns shown), numbers with three
+    decimals, shares as per cent."""
     d = df.select(*columns) if columns else df
-    return d.limit(rows).withColumns({c: F.format_string("%.3f", F.col(c).cast("double")) for c in rounded if c in d.columns})
+    d = d.withColumns({c: F.format_string("%.1f%%", 100 * F.col(c).cast("double")) for c in percents if c in d.columns})
+    return d.orderBy(*(order or d.columns)).limit(rows).withColumns({c: F.format_string("%.3f", F.col(c).cast("double")) for c in rounded if c in d.columns})
 
 
 STAGE_ORDER = ("Awareness", "Consideration", "Evaluation", "Purchase", "Ownership", "Unclear / Cross-Stage")
 
 
+def bars(df: DataFrame, label: str, value: str, n: int = 15) -> DataFrame:
+    """(label, value, position) of the n greatest values; horizontal bars are drawn upward, so the greatest is last."""
+    top = df.select(label, value).orderBy(F.desc(value), label).limit(n)
+    return top.withColumn("position", (F.row_number().over(Window.orderBy(F.asc(value), F.desc(label))) - 1).cast("int"))
+
+
 def pack(stage_summary=None, pain_summary=None, pain_table=None, deep_dive=None, sankey: bool = True) -> dict[str, DataFrame]:
     """Data of the whole figure pack, for the tables that are given."""
     out = {}

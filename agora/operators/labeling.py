@@ -1,12 +1,13 @@
 """Labels from an external labeler: prompts, a rate limiter, tolerant parsing.
 
-A labeler is any callable from a prompt to a reply. Topics are few (hundreds), and
-the limiter is one clock for all, so calls run in one partition; ``stub`` is the
-offline default.
+A labeler is any callable from a prompt to a reply; ``stub`` is the offline default.
+Topics are few (hundreds). The limiter is one clock for all, with its log on the
+driver's disk, so limited calls are made by the driver, one after another.
 """
 
 from __future__ import annotations
 
+import importlib
 import json
 import time
 from collections.abc import Callable
@@ -75,22 +76,34 @@ def stub(request: str) -> str:
     return json.dumps({"topic_label_llm": name, "topic_summary_llm": f"Discussion about {name}."})
 
 
-def call(df: DataFrame, labeler: Callable[[str], str] = stub, limiter: Callable[[], RateLimiter] | None = None, column: str = "prompt") -> DataFrame:
-    """``reply`` to each prompt. With a limiter (made where the calls are made), in one partition."""
+def call(df: DataFrame, labeler: Callable[[str], str] = stub, limiter: RateLimiter | None = None, column: str = "prompt", key: str = "topic_id") -> DataFrame:
+    """``reply`` to each prompt. With a limiter the driver asks, topic by topic; its daily limit bounds their number."""
+    if limiter:
+        replies = []
+        for r in df.select(key, column).orderBy(key).toLocalIterator():
+            limiter.acquire()
+            replies.append((r[key], labeler(r[column])))
+        known = P.StructType([P.StructField("_key", df.schema[key].dataType), P.StructField("reply", P.StringType())])
+        return df.join(df.sparkSession.createDataFrame(replies, known), F.col(key).eqNullSafe(F.col("_key")), "left").drop("_key")
     schema = P.StructType([*df.schema.fields, P.StructField("reply", P.StringType())])
 
     def run(frames):
-        gate = limiter() if limiter else None
         for f in frames:
-            out = []
-            for p in f[column]:
-                if gate:
-                    gate.acquire()
-                out.append(labeler(p))
-            f["reply"] = out
+            f["reply"] = [labeler(p) for p in f[column]]
             yield f
 
-    return (df.coalesce(1) if limiter else df).mapInPandas(run, schema)
+    return df.mapInPandas(run, schema)
+
+
+def find(name: str) -> Callable[[str], str]:
+    """A labeler by name: ``stub``, or ``module:function`` for a backend of one's own."""
+    if name == "stub":
+        return stub
+    module, _, function = name.partition(":")
+    found = getattr(importlib.import_module(module), function or "label", None)
+    if not callable(found):
+        raise ValueError(f"no labeler {name!r}")
+    return found
 
 
 def parse(reply: Column) -> tuple[Column, Column]:

@@ -144,14 +144,11 @@ def refine(info: DataFrame, cfg: RefineConfig = RefineConfig()) -> DataFrame:
 
 def clean_representatives(info: DataFrame, column: str = "Representative_Docs") -> DataFrame:
     """Representative texts without mojibake, entities, odd quotes and extra space. Texts are exploded, so that one
-    expression serves each, and put back in order."""
+    expression serves each, and put back in order by their topic."""
     if column not in info.columns:
         return info
-    d = info.withColumn("_row", F.monotonically_increasing_id()).withColumn("_docs", as_list(info, column))
-    x = d.select("_row", F.posexplode("_docs").alias("_i", "_t"))
-    t = T.unescape(T.repair_mojibake(F.col("_t")))
-    t = F.replace(F.replace(t, F.lit("\\'"), F.lit("'")), F.lit('\\"'), F.lit('"'))
-    t = F.regexp_replace(T.plain_punctuation(t), r"(?U)(?<=\w)`(?=\w)", "'")
-    x = x.withColumn("_t", T.collapse(F.regexp_replace(t, "[\\u200b\\u200c\\u200d\\ufeff]", " ")))
-    back = x.groupBy("_row").agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_t"))), lambda e: e["_t"]).alias("_new"))
-    return d.join(back, "_row", "left").withColumn(column, F.coalesce("_new", F.array().cast(NO_STRINGS))).drop("_row", "_docs", "_new")
+    x = info.select("Topic", F.posexplode(as_list(info, column)).alias("_i", "_t"))
+    x = x.withColumn("_t", T.collapse(T.straight(F.col("_t"))))
+    back = x.groupBy(F.col("Topic").alias("_topic")).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_t"))), lambda e: e["_t"]).alias("_new"))
+    joined = info.join(back, F.col("Topic").eqNullSafe(F.col("_topic")), "left")
+    return joined.withColumn(column, F.coalesce("_new", F.array().cast(NO_STRINGS))).drop("_topic", "_new")

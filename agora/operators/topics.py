@@ -74,15 +74,22 @@ def top_words(weights: DataFrame, n: int = 10) -> DataFrame:
 
 
 def topic_info(docs: DataFrame, weights: DataFrame, topic: str, text: str | None = None, n: int = 10, representatives: int = 3, key: str = "doc_id") -> DataFrame:
-    """(Topic, Count, Name, Representation[, Representative_Docs]): name = topic and its first four words."""
+    """(Topic, Count, Name, Representation[, Representative_Docs]): name = topic and its first four words; the documents
+    whose words are most like the topic's (cosine of counts to weights) represent it."""
     ranked = top_words(weights, n).groupBy("topic").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda x: x["term"]).alias("Representation"))
     counts = docs.groupBy(F.col(topic).alias("topic")).agg(F.count("*").alias("Count"))
     d = counts.join(ranked, "topic", "left")
     name = F.concat_ws("_", F.col("topic").cast("string"), F.slice(F.coalesce("Representation", F.array().cast("array<string>")), 1, 4))
     d = d.withColumn("Name", name)
     if text:
-        w = Window.partitionBy(topic).orderBy(F.length(text).desc(), key)
-        reps = docs.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= representatives)
+        # documents are ranked by their likeness to the topic's words, on ids alone; texts are fetched for the chosen ones
+        listed = top_words(weights, n).select(F.col("topic").alias("_topic"), "term", "weight")
+        held = docs.select(F.col(topic).alias("_topic"), F.col(key).alias("_key"), F.explode(words(F.col(text))).alias("term")).groupBy("_topic", "_key", "term").agg(F.count("*").alias("_tf"))
+        length_of = held.groupBy("_topic", "_key").agg(F.sqrt(F.sum(F.col("_tf") * F.col("_tf"))).alias("_length"))
+        likeness = held.join(listed, ["_topic", "term"]).groupBy("_topic", "_key").agg(F.sum(F.col("_tf") * F.col("weight")).alias("_dot"))
+        best = Window.partitionBy("_topic").orderBy(F.round(F.col("_dot") / F.col("_length"), 9).desc(), "_key")
+        chosen = likeness.join(length_of, ["_topic", "_key"]).withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= representatives)
+        reps = docs.join(chosen.select("_topic", "_key", "_r"), F.col(topic).eqNullSafe(F.col("_topic")) & (F.col(key) == F.col("_key")))
         reps = reps.groupBy(F.col(topic).alias("topic")).agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", F.col(text).alias("t")))), lambda x: x["t"]).alias("Representative_Docs"))
         d = d.join(reps, "topic", "left")
     return d.withColumnRenamed("topic", "Topic")
@@ -100,15 +107,32 @@ def max_probability(probabilities: Column) -> Column:
     return F.array_max(probabilities)
 
 
-def topics_over_time(docs: DataFrame, topic: str, time_bin: str, terms: Column, n: int = 5) -> DataFrame:
-    """Words of each topic in each bin: counts in the bin, weighted by the whole corpus' term frequencies."""
+def time_bins(docs: DataFrame, ts: str, nr_bins: int) -> DataFrame:
+    """``bin``: 0 to nr_bins - 1, of equal width between the first and the last time (a number, a date or a timestamp)."""
+    kind = dict(docs.dtypes)[ts]
+    at = F.unix_micros(F.col(ts).cast("timestamp")) if kind.startswith(("timestamp", "date")) else F.col(ts)
+    low, high = docs.agg(F.min(at), F.max(at)).first()
+    if low is None or low == high:
+        return docs.withColumn("bin", F.when(F.col(ts).isNotNull(), 0))
+    return docs.withColumn("bin", F.least(F.lit(nr_bins - 1), F.floor((at - F.lit(low)) * float(nr_bins) / F.lit(high - low))).cast("int"))
+
+
+def topics_over_time(docs: DataFrame, topic: str, time_bin: str, terms: Column, n: int = 5, global_tuning: bool = False) -> DataFrame:
+    """Words of each topic in each bin: counts in the bin, weighted by the whole corpus' term frequencies. With global
+    tuning a term's share in the bin is averaged with its share in the whole topic."""
     d = docs.select(F.col(topic).alias("topic"), F.col(time_bin).alias("bin"), F.explode(terms).alias("term"))
     tf = d.groupBy("topic", "bin", "term").agg(F.count("*").alias("tf"))
     whole = ctfidf(tf.groupBy("topic", "term").agg(F.sum("tf").alias("tf")))
     idf = whole.groupBy("term").agg(F.sum("tf").alias("_f"))
     mean = tf.groupBy("topic").agg(F.sum("tf").alias("s")).agg(F.avg("s")).scalar()
     per = F.sum("tf").over(Window.partitionBy("topic", "bin"))
-    w = tf.withColumn("_n", per).join(idf, "term").withColumn("_mean", mean).withColumn("weight", F.col("tf") / F.col("_n") * F.log(1 + F.col("_mean") / F.col("_f")))
+    share = F.col("tf") / per
+    w = tf.withColumn("_share", share)
+    if global_tuning:
+        total = F.sum("tf").over(Window.partitionBy("topic"))
+        overall = whole.select("topic", "term", (F.col("tf") / total).alias("_whole"))
+        w = w.join(overall, ["topic", "term"]).withColumn("_share", (F.col("_share") + F.col("_whole")) / 2)
+    w = w.join(idf, "term").withColumn("_mean", mean).withColumn("weight", F.col("_share") * F.log(1 + F.col("_mean") / F.col("_f")))
     r = F.row_number().over(Window.partitionBy("topic", "bin").orderBy(F.desc(F.round("weight", 9)), "term"))
     return w.withColumn("rank", r).filter(F.col("rank") <= n).select("topic", "bin", "term", "tf", "weight", "rank")
 
@@ -221,12 +245,13 @@ def hierarchy(weights: DataFrame) -> list[tuple[int, int, int, float]]:
     return out
 
 
-def reduce_topics(weights: DataFrame, nr_topics: int) -> DataFrame:
-    """(topic, reduced): topics merged, most similar first, until nr_topics are left; a group is named by its least topic."""
+def reduce_topics(weights: DataFrame, nr_topics: int | str, least: float = RefineConfig.merge_threshold) -> DataFrame:
+    """(topic, reduced): topics merged, most similar first, until nr_topics are left, or with "auto" while groups are at
+    least as similar as ``least``; a group is named by its least topic."""
     topics = sorted(r[0] for r in weights.select("topic").distinct().collect())
     groups = {k: [t] for k, t in enumerate(topics)}
-    for new, a, b, _ in hierarchy(weights):
-        if len(groups) <= max(1, nr_topics):
+    for new, a, b, similarity in hierarchy(weights):
+        if similarity < least if nr_topics == "auto" else len(groups) <= max(1, nr_topics):
             break
         groups[new] = groups.pop(a) + groups.pop(b)
     rows = [(t, min(g)) for g in groups.values() for t in g]

@@ -87,9 +87,5 @@ topics AS (SELECT doc_id - 1 AS topic_id, CAST(n_chars AS DOUBLE) AS topic_weigh
 texts AS (SELECT *, lower(topic_label_llm || ' | ' || topic_summary_llm || ' | ' || rep_doc_centroid) AS combined_text FROM topics WHERE topic_id <> -1)"""
 
 
-def words_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents").filter("lang = 'en'")
-
-
-COUNTS_SQL = """tok AS (SELECT source AS topic, unnest(regexp_extract_all(lower(text), '[a-z][a-z]+')) AS term FROM documents WHERE lang = 'en'),
+COUNTS_SQL = """tok AS (SELECT source AS topic, unnest(regexp_extract_all(lower(text), '[a-z][a-z]+')) AS term FROM documents),
 counts AS (SELECT topic, term, count(*) AS tf FROM tok GROUP BY ALL)"""

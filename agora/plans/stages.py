@@ -37,7 +37,7 @@ def model(docs: DataFrame, embeddings: DataFrame | None = None, cfg: TopicConfig
     vectors = d if embeddings is None or embedder else own(d.drop("embedding"), "text_clean")
     d = d.drop("embedding")
     terms = topics.ngrams(topics.words(F.col("text_clean")), cfg.ngrams, topics.stopwords())
-    counts = topics.vectorized(topics.term_counts(d, "topic", terms), TopicConfig(min_df=1, max_df=1.0, max_features=cfg.max_features))
+    counts = topics.vectorized(topics.term_counts(d, "topic", terms), cfg)
     weights = topics.ctfidf(counts)
     info = topics.topic_info(d, weights, "topic", "text_clean", cfg.top_n_words).join(topics.mmr(weights, cfg.top_n_words, cfg.mmr_diversity).withColumnRenamed("topic", "Topic"), "Topic", "left")
     similar = topics.term_similarity(vectors, "topic", weights, own, cfg.top_n_words)

@@ -36,17 +36,18 @@ def prefix(suffix: str) -> Column:
 
 
 def read_files(spark: SparkSession, folder: str, suffix: str, schema: P.StructType) -> DataFrame:
-    """Files ``<prefix><suffix>.csv`` of a folder with subreddit, _file (for order) and the schema's columns; no file: no rows."""
+    """Files ``<prefix><suffix>.csv`` of a folder with subreddit, the schema's columns, and _file and _row_idx for
+    order: rows are numbered as they are read, and a file is read by one task. No file: no rows."""
     try:
         df = read_csv(spark, folder, f"*{suffix}.csv")
     except Exception as e:
         if "UNABLE_TO_INFER_SCHEMA" not in str(e) and "PATH_NOT_FOUND" not in str(e):
             raise
-        return spark.createDataFrame([], schema).withColumns({"subreddit": F.lit(""), "_file": F.lit("")})
+        return spark.createDataFrame([], schema).withColumns({"subreddit": F.lit(""), "_file": F.lit(""), "_row_idx": F.lit(0).cast("bigint")})
     if not df.columns:
-        return spark.createDataFrame([], schema).withColumns({"subreddit": F.lit(""), "_file": F.lit("")})
+        return spark.createDataFrame([], schema).withColumns({"subreddit": F.lit(""), "_file": F.lit(""), "_row_idx": F.lit(0).cast("bigint")})
     have = [F.col(f.name) if f.name in df.columns else F.lit(None).cast("string").alias(f.name) for f in schema]
-    return df.select(*have, prefix(suffix).alias("subreddit"), F.input_file_name().alias("_file"))
+    return df.select(*have, prefix(suffix).alias("subreddit"), F.input_file_name().alias("_file"), F.monotonically_increasing_id().alias("_row_idx"))
 
 
 def parse_tags(items: list[str]) -> dict[str, str]:
@@ -103,7 +104,7 @@ def gather(spark: SparkSession, folder: str, tags: dict[str, str] | None = None,
         if mode == "all" or (mode == "submissions") == (kind == 0):
             d = choose_targets(df, targets) if targets and (kind == 0 or mode == "comments") else df.filter(F.lower("subreddit").isin(*[t.lower() for t in targets])) if targets else df
             d = d.withColumn("source_tag", source_tag(F.col("subreddit"), tags or {}))
-            parts.append(project(d).withColumns({"_row_idx": F.monotonically_increasing_id(), "_file_idx": F.lower("subreddit")}).withColumn("_kind", F.lit(kind)))
+            parts.append(project(d).withColumn("_file_idx", F.lower("subreddit")).withColumn("_kind", F.lit(kind)))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
