@@ -5,27 +5,18 @@ from __future__ import annotations
 import atexit
 import ctypes
 import functools
-import gc
 import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Where tests write when the session names no shared folder.
-TEST_SCRATCH = "/tmp/checkpoints/agora"
-
+from agora.written import shared_folder
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of the session, or a local one where none is set (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return (found or TEST_SCRATCH).rstrip("/")
-
-
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
@@ -45,7 +36,7 @@ class Scratch:
         self.paths: dict[int, str] = {}
 
     def keep(self, df: DataFrame, last: bool = False) -> DataFrame:
-        path = f"{scratch_root(self.spark)}/agora-{uuid.uuid4().hex}"
+        path = f"{shared_folder(self.spark)}/agora-{uuid.uuid4().hex}"
         df.write.option("compression", "zstd").parquet(path)
         if last:
             _AT_END.append((self.spark, path))
@@ -60,13 +51,6 @@ class Scratch:
                 _delete(self.spark, path)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of plans that nothing refers to any more; it does so when the driver's
-    garbage is collected, which may come late for large files."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 _PER_WORKER: list[dict] = []
 
 
