@@ -50,10 +50,12 @@ def term_counts(df: DataFrame, topic: str, terms: Column) -> DataFrame:
 
 
 def vectorized(counts: DataFrame, cfg: TopicConfig) -> DataFrame:
-    """Terms in at least min_df topics and in at most max_df of them, the max_features most frequent ones."""
+    """Terms in at least min_df topics and in at most max_df of them, the max_features most frequent ones. With so few
+    topics that no term can be within both limits, they don't apply."""
     n = counts.agg(F.count_distinct("topic")).scalar()
     df = counts.groupBy("term").agg(F.count("*").alias("_df"), F.sum("tf").alias("_tf"))
-    df = df.filter((F.col("_df") >= cfg.min_df) & (F.col("_df") <= n * cfg.max_df))
+    within = (F.col("_df") >= cfg.min_df) & (F.col("_df") <= n * cfg.max_df)
+    df = df.filter(within | (F.lit(cfg.min_df) > n * cfg.max_df))
     if cfg.max_features:
         df = df.orderBy(F.desc("_tf"), "term").limit(cfg.max_features)
     return counts.join(df.select("term"), "term", "left_semi")
@@ -87,8 +89,10 @@ def topic_info(docs: DataFrame, weights: DataFrame, topic: str, text: str | None
         held = docs.select(F.col(topic).alias("_topic"), F.col(key).alias("_key"), F.explode(words(F.col(text))).alias("term")).groupBy("_topic", "_key", "term").agg(F.count("*").alias("_tf"))
         length_of = held.groupBy("_topic", "_key").agg(F.sqrt(F.sum(F.col("_tf") * F.col("_tf"))).alias("_length"))
         likeness = held.join(listed, ["_topic", "term"]).groupBy("_topic", "_key").agg(F.sum(F.col("_tf") * F.col("weight")).alias("_dot"))
-        best = Window.partitionBy("_topic").orderBy(F.round(F.col("_dot") / F.col("_length"), 9).desc(), "_key")
-        chosen = likeness.join(length_of, ["_topic", "_key"]).withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= representatives)
+        scored = likeness.join(length_of, ["_topic", "_key"]).select("_topic", "_key", F.round(F.col("_dot") / F.col("_length"), 9).alias("_like"))
+        named = docs.select(F.col(topic).alias("_topic"), F.col(key).alias("_key")).join(scored, ["_topic", "_key"], "left")
+        best = Window.partitionBy("_topic").orderBy(F.coalesce("_like", F.lit(0.0)).desc(), "_key")
+        chosen = named.withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= representatives)
         reps = docs.join(chosen.select("_topic", "_key", "_r"), F.col(topic).eqNullSafe(F.col("_topic")) & (F.col(key) == F.col("_key")))
         reps = reps.groupBy(F.col(topic).alias("topic")).agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", F.col(text).alias("t")))), lambda x: x["t"]).alias("Representative_Docs"))
         d = d.join(reps, "topic", "left")
@@ -114,7 +118,8 @@ def time_bins(docs: DataFrame, ts: str, nr_bins: int) -> DataFrame:
     low, high = docs.agg(F.min(at), F.max(at)).first()
     if low is None or low == high:
         return docs.withColumn("bin", F.when(F.col(ts).isNotNull(), 0))
-    return docs.withColumn("bin", F.least(F.lit(nr_bins - 1), F.floor((at - F.lit(low)) * float(nr_bins) / F.lit(high - low))).cast("int"))
+    k = F.floor((at - F.lit(low)) * float(nr_bins) / F.lit(high - low))
+    return docs.withColumn("bin", F.when(k.isNotNull(), F.least(F.lit(nr_bins - 1), k)).cast("int"))
 
 
 def topics_over_time(docs: DataFrame, topic: str, time_bin: str, terms: Column, n: int = 5, global_tuning: bool = False) -> DataFrame:

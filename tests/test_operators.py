@@ -264,3 +264,43 @@ def test_pivots_over_all_groups_and_codes(spark):
     sources = {r[0] for r in spark.read.parquet(f"{sf}/documents.parquet").select("source").distinct().collect()}
     assert {r.subreddit for r in q["heatmap_all"](spark, sf).collect()} == sources and len(sources) > 4
     assert set(q["stage_pain_pivot_all"](spark, sf).columns) == {"funnel_stage", R.GENERAL.code} | {p.code for p in R.PAINS}
+
+
+def test_words_of_bins_and_automatic_reduction(spark):
+    from agora.operators import topics as M
+
+    days = spark.createDataFrame([(0, 0), (1, 5), (2, 10), (3, None)], "doc_id int, day int")
+    assert [r.bin for r in M.time_bins(days, "day", 2).orderBy("doc_id").collect()] == [0, 1, 1, None]
+    assert [r.bin for r in M.time_bins(days.filter("day = 5"), "day", 4).collect()] == [0]
+    w = spark.createDataFrame([("a", "x", 1.0), ("b", "x", 0.9), ("b", "y", 0.4359), ("c", "z", 1.0)], "topic string, term string, w double")
+    assert {r.topic: r.reduced for r in M.reduce_topics(w, "auto").collect()} == {"a": "a", "b": "a", "c": "c"}
+
+
+def test_bars_and_shown_tables_have_an_order(spark):
+    from agora.operators import figures as G
+
+    d = spark.createDataFrame([("x", 1.0), ("y", 3.0), ("z", 2.0)], "label string, value double").repartition(3)
+    assert [(r.label, r.position) for r in G.bars(d, "label", "value", 2).orderBy("position").collect()] == [("z", 0), ("y", 1)]
+    assert [tuple(r) for r in G.table(d, rows=2, rounded=("value",)).collect()] == [("x", "1.000"), ("y", "3.000")]
+    assert G.table(d, rows=1, percents=("value",)).first().value == "100.0%"
+
+
+def test_limited_labelers_are_called_by_the_driver(spark):
+    d = spark.createDataFrame([(2, "b"), (1, "a")], "topic_id int, prompt string")
+    waits, asked = [], []
+    limiter = L.RateLimiter(LabelerConfig(min_interval_s=30, calls_per_day=2), clock=lambda: 0.0, sleep=waits.append)
+    got = L.call(d, lambda p: asked.append(p) or p.upper(), limiter).orderBy("topic_id").collect()
+    assert asked == ["a", "b"] and [r.reply for r in got] == ["A", "B"] and waits == [30.0]
+    assert L.find("stub") is L.stub and L.find("json:dumps")("x") == '"x"'
+
+
+def test_white_space_is_collapsed_like_pythons(spark):
+    import re
+
+    from agora.functions import text as T
+
+    texts = ["", " a  b ", "a\t\nb  c　", " x    y\r\n", "plain text", None, "\x1fa"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", T.collapse(F.col("t")).alias("c"), T.token_count(F.col("t")).alias("n")).orderBy("i").collect()
+    space = f"[{T.SPACES} ]+"
+    want = [None if t is None else re.sub(space, " ", t).strip(" ") for t in texts]
+    assert [r.c for r in rows] == want and [r.n for r in rows] == [len((w or "").split(" ")) if w else 0 for w in want]
