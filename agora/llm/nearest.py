@@ -44,7 +44,7 @@ MOST_TABLES, MOST_FUNCTIONS, WIDTH, RECALL = 6, 8, 0.9, 0.97
 #: Rows that a bucket is to hold, and bits that one function tells on directions at this width, about.
 BUCKET_ROWS, FUNCTION_BITS = 1_024, 2.2
 #: Rows of an index block and queries of a query block of a crowded bucket.
-INDEX_ROWS, QUERY_ROWS = 4_096, 8_192
+INDEX_ROWS, QUERY_ROWS = 1_024, 8_192
 #: Bucket counts of up to this many buckets are broadcast (four numbers each).
 MOST_BROADCAST = 500_000
 

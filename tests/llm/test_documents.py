@@ -280,3 +280,55 @@ def test_blocks_of_a_mix_are_alike_at_every_size(spark):
     row = mixed.agg(F.count_distinct("doc_id"), F.count_distinct("mix_position"), F.min("mix_position"), F.max("mix_position")).first()
     assert tuple(row) == (n, n, 0, n - 1)
     mixed.unpersist()
+
+
+def test_folding_sees_through_disguises():
+    a = toxicity.Lexicon({"idiot$": 3.0, "asshole$": 3.0}).automaton()
+    for t in ("id​iot", "idiöt", "idiöt", "assho1e", "user@idiot", "0idiot", "1d10t", "іdіоt"):
+        assert toxicity.evidence(t, a)[1] == 1, t
+    for t in ("idiotic", "sidiot", "1010", "id iot", ""):
+        assert toxicity.evidence(t, a)[1] == 0, t
+
+
+def test_natural_tokens_are_rarely_taken_for_secrets():
+    r = random.Random(5)
+    words = "customer order total amount service internal config value parser http request handler index user session report annual invoice branch release version library".split()
+    false = 0
+    for _ in range(4000):
+        style, some = r.choice(["_", "-", "/", ""]), r.choices(words, k=r.randint(3, 6))
+        token = style.join(some) if style else "".join(w.title() for w in some)
+        false += any(k == 3 for _, k, _ in secret_scan.scan(f"see {token}{r.choice(['_', '-', ''])}{r.randint(1, 20_250_101)} there"))
+    assert false <= 4000 * 0.001
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_"
+    assert sum(any(k == 3 for _, k, _ in secret_scan.scan("".join(r.choices(letters, k=40)))) for _ in range(300)) >= 285
+    for t in ("2024-01-15T10-30-00_backup_001", "/api/v1/users/12345678/orders/98765", "IMG_20240115_103000_HDR_edited2"):
+        assert secret_scan.scan(t) == []
+
+
+def test_secrets_of_nothing_and_of_repeated_rows(spark):
+    assert secret_scan.find_secrets(spark.createDataFrame([], SCHEMA)).count() == 0
+    docs = table(spark, ["password=abcdefgh1", None, ""] * 2 + ["x " * 200_000 + "token: abcdefgh2"]).withColumnRenamed("lang", "spans")
+    assert sorted(r.n_assign for r in secret_scan.find_secrets(docs).collect()) == [0, 0, 0, 0, 1, 1, 1]
+
+
+def test_a_large_family_in_parts_is_joined_whole(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "CROWD", 4)
+    r = random.Random(11)
+    word = lambda: "".join(r.choices("abcdefgh", k=4))
+    now, texts = [word() for _ in range(90)], []
+    for _ in range(60):  # a chain: each links with the next, the ends with none of the other end
+        now = [*now]
+        now[r.randrange(len(now))] = word()
+        texts.append(" ".join(now))
+    want = plain_components(plain_sets(texts))
+    got = {x.doc_id: x.component_id for x in ngram_join.near_duplicates(table(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+
+def test_repeated_ids_and_large_shards(spark):
+    rows = [(k % 5 if k % 3 else None, f"text {k % 40}", "", "", 0) for k in range(300)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = sharding.shard(docs, 3, part_bytes=300).collect()
+    whole = sharding.shard(docs, 3).collect()
+    key = lambda r: (r.shard, r.slot, r.text)
+    assert len(got) == 300 and sorted(map(key, got)) == sorted(map(key, whole))

@@ -33,6 +33,14 @@ def test_nearest_recall_and_scores(spark):
     assert hits >= 0.9 * total
 
 
+def test_nearest_of_equal_vectors_and_repeated_ids(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0])] + [(k, [1.0, 1.0]) for k in range(1, 60)] + [(7, [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    for index_rows in (4, 1000):
+        got = nearest.search(df, df.filter("vec_id = 0"), 8, index_rows=index_rows).orderBy("rank").collect()
+        assert [r.vec_id for r in got] == [1, 2, 3, 4, 5, 6, 7, 7] and len({r["score"] for r in got}) == 1
+
+
 def test_nearest_of_few_and_none(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 0.1]), (2, [1.0, 0.1])], "vec_id long, embedding array<float>")
     assert [(r["rank"], r.vec_id) for r in nearest.search(df, df.filter("vec_id = 0"), 5).collect()] == [(1, 1), (2, 2)]
