@@ -1,12 +1,13 @@
 """Toxicity scores from a weighted lexicon.
 
-Folding: lower case; invisible characters and combining marks are deleted; letters
-with marks, look-alike letters of other scripts and digits or signs used as letters
-become plain letters. What may stand for i or for l is tried as both. Past the
-deletions folding is one character to one, so matches can be checked against the
-unfolded text: a match needs a letter there, no letter in front, and a whole-word
-entry also none behind. Matches inside an exception phrase don't count. All entries and exceptions
-are found in one Aho-Corasick pass (a second one for the other reading of a text with ``1`` or ``|`` in a word). A text's evidence is the weight of its matches
+Folding: lower case; invisible characters and combining marks are deleted; look-alike
+letters of other scripts and digits or signs used as letters become plain letters.
+For words of the base list a second reading also takes the marks off letters and
+``1`` and ``|`` as l. Past the deletions folding is one character to one, so matches
+can be checked against the unfolded text: a match needs a letter there, no letter in
+front, and a whole-word entry also none behind. Matches inside an exception phrase
+don't count. All entries and exceptions are found in one Aho-Corasick pass, or in two
+where the second reading differs. A text's evidence is the weight of its matches
 per hundred words, and a logistic curve turns it into a score; with no match, as
 for an empty or null text, the score is the curve's value at no evidence.
 
@@ -54,10 +55,12 @@ LOOK_ALIKES = {
 INVISIBLE = "­​‌‍⁠﻿"
 #: Letters that Unicode takes apart into a plain letter and marks, in the blocks of extended Latin.
 MARKED = {chr(c): d[0].lower() for c in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)) if (d := unicodedata.normalize("NFD", chr(c)))[0].isascii() and len(d) > 1}
-_FOLD = str.maketrans({**MARKED, **LOOK_ALIKES, **{chr(c): chr(c - 0xFEE0) for c in range(0xFF41, 0xFF5B)}})
-_FOLD_L = {**_FOLD, ord("1"): "l", ord("|"): "l"}
+_FOLD = str.maketrans({**LOOK_ALIKES, **{chr(c): chr(c - 0xFEE0) for c in range(0xFF41, 0xFF5B)}})
+#: Another reading, for the base list only: learned entries are told apart by their marks.
+_FOLD_MORE = {**{ord(c): by for c, by in MARKED.items()}, **_FOLD, ord("1"): "l", ord("|"): "l"}
+_BASE_WORDS = frozenset(BASE)
 _DELETED = re.compile(f"[{INVISIBLE}\u0300-\u036f]")
-_AS_L = re.compile(r"[^\W\d_][1|]|[1|][^\W\d_]")
+_MORE = re.compile(r"[^\W\d_][1|]|[1|][^\W\d_]|[" + "".join(MARKED) + "]")
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -100,11 +103,13 @@ def evidence(text: str, automaton) -> tuple[float, int]:
     skip: list[tuple[int, int]] = []
     best: dict[int, tuple[float, int]] = {}
     n = len(lower)
-    for table in (_FOLD, _FOLD_L) if _AS_L.search(lower) else (_FOLD,):
+    for table in (_FOLD, _FOLD_MORE) if _MORE.search(lower) else (_FOLD,):
         for end, (length, weight, whole, entry) in automaton.iter(lower.translate(table)):
             start = end + 1 - length
             if start and lower[start - 1].isalpha() or whole and end + 1 < n and lower[end + 1].isalpha():
                 continue
+            if table is _FOLD_MORE and entry is not None and entry.rstrip("$") not in _BASE_WORDS:
+                continue
             if entry is None:
                 skip.append((start, end))
             elif any(map(str.isalpha, lower[start : end + 1])) and weight > best.get(start, (0.0, 0))[0]:
