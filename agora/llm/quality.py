@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from agora.llm.bpe import slices
 from agora.llm.common import forget, trimmed
+from agora.written import written
 
 MOST_ROWS = 12_000
 #: Documents with a smaller final probability are rejected.
@@ -180,7 +181,8 @@ def _strength(groups: DataFrame, mean: str, parent: str) -> float:
 def site_posteriors(scored: DataFrame) -> tuple[DataFrame, float]:
     """From (host, path, _log_odds): the table (host, path, n, host_posterior, path_posterior) and the global mean."""
     p = probability(F.col("_log_odds"))
-    paths = scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum(p).alias("s"), F.sum(p * p).alias("s2")).persist()
+    paths = scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum(p).alias("s"), F.sum(p * p).alias("s2"))
+    paths = written(paths)  # read several times, and texts are costly to score
     hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("s2").alias("s2"))
     total = paths.agg(F.sum("n").alias("n"), F.sum("s").alias("s")).first()
     overall = total.s / total.n if total.n else 0.5

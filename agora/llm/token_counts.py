@@ -3,16 +3,22 @@
 ``count[p] = count[p - len(last token)] + cost(last token)`` gives the exact token
 count of every prefix of a word (``prefix_bpe`` finds the last tokens). Pieces of
 this vocabulary hold a space only in front, so a text's count is the sum over its
-stretches "spaces, then non-spaces", and the counts at all prefixes of the text
-follow from running sums: budget and truncation questions need no encoding.
+stretches "spaces, then non-spaces". The counts at all prefixes of a stretch are
+kept, so a text's count is a sum of their ends, and the longest prefix within a
+budget is found in the one stretch in which the running sum meets it: budget and
+truncation questions need no encoding.
 
 Null texts count as empty (0 tokens, 0 bytes). Characters outside the vocabulary
 cost one token for each UTF-8 byte. Rows are kept as they are, repeated ones too.
+A text of any length is counted whole; memory grows with the batch and the
+bounded cache of stretches.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
+from bisect import bisect_left
 from itertools import accumulate
 
 from pyspark.sql import DataFrame
@@ -29,8 +35,9 @@ _STRETCHES = re.compile("▁*[^▁]+|▁+")
 class PrefixCounter:
     def __init__(self, path: str):
         self.bpe = read_piece_vocabulary(path)
-        self.cache: dict[str, int] = {}
-        self.older: dict[str, int] = {}
+        #: The counts at all prefixes of a stretch, the empty one first.
+        self.cache: dict[str, bytes | array] = {}
+        self.older: dict[str, bytes | array] = {}
         self.costs: dict[str, int] = {}
 
     def cost(self, token: str) -> int:
@@ -40,13 +47,6 @@ class PrefixCounter:
             self.costs[token] = 1 if token in self.bpe.tokens else len(token.encode("utf-8", "surrogatepass"))
         return self.costs[token]
 
-    def prefix_counts(self, last: list[str]) -> list[int]:
-        """Token counts of all prefixes of a stretch, the empty one first."""
-        counts = [0]
-        for end in range(1, len(last)):
-            counts.append(counts[end - len(last[end])] + self.cost(last[end]))
-        return counts
-
     @staticmethod
     def stretches(text: str) -> list[str]:
         return _STRETCHES.findall("▁" + text.replace(" ", "▁")) if text else []
@@ -65,32 +65,49 @@ class PrefixCounter:
             del counts[shared + 1 :]
             for end in range(shared + 1, len(last)):
                 counts.append(counts[end - len(last[end])] + self.cost(last[end]))
-            self.cache[word] = counts[-1]
+            self.cache[word] = bytes(counts) if max(counts) < 256 else array("Q", counts)
             before = word
 
-    def counts(self, texts: list[str]) -> list[int]:
+    def counts(self, texts: list[str], budget: int | None = None) -> tuple[list[int], list[int]]:
+        """The texts' token counts, and with a budget the longest prefixes of at most that many tokens."""
         split = [self.stretches(t) for t in texts]
         self.learn(set().union(*split))
-        known = self.cache.__getitem__
-        return [sum(map(known, s)) for s in split]
+        known = self.cache
+        counts = [sum([known[x][-1] for x in s]) for s in split]
+        if budget is None:
+            return counts, []
+        return counts, [len(t) if n <= budget else self._cut(s, budget) for t, s, n in zip(texts, split, counts, strict=True)]
 
     def at_every_prefix(self, text: str) -> list[int]:
         """The token count of text[:p] for every p."""
-        out = [0]
-        for s in self.stretches(text):
-            _, last = next(iter(self.bpe.walk([s])))
-            out += [out[-1] + c for c in self.prefix_counts(last)[1:]]
-        return [0, *out[2:]] if text else [0]
+        out, s = [0], self.stretches(text)
+        self.learn(set(s))
+        for x in s:
+            before = out[-1]
+            out += [before + n for n in self.cache[x][1:]]
+        return [0, *out[2:]]
 
     def longest_prefix(self, text: str, budget: int) -> int:
         """The greatest p for which text[:p] has at most ``budget`` tokens."""
-        return max(p for p, n in enumerate(self.at_every_prefix(text)) if n <= budget)
+        return self.counts([text], budget)[1][0]
+
+    def _cut(self, stretches: list[str], budget: int) -> int:
+        """Where a text over the budget is cut: every stretch costs a token at least, so no later one than that in
+        which the running sum meets the budget has room for more. Within it counts may fall, so its end comes first."""
+        ends = list(accumulate(self.cache[x][-1] for x in stretches))
+        k = bisect_left(ends, budget)
+        if k < len(ends) and ends[k] == budget:
+            k += 1
+        room, inside = budget - (ends[k - 1] if k else 0), self.cache[stretches[k]]
+        within = next(p for p in range(len(inside) - 1, -1, -1) if inside[p] <= room)
+        # the text's first stretch begins with a space that the text doesn't have
+        return max(0, sum(map(len, stretches[:k])) + within - 1)
 
     def boundaries(self, text: str) -> list[int]:
         """Running token counts at the ends of the stretches, enough to place chunks of a text."""
         s = self.stretches(text)
         self.learn(set(s))
-        return list(accumulate(self.cache[x] for x in s))
+        return list(accumulate(self.cache[x][-1] for x in s))
 
 
 def _common(a: str, b: str) -> str:
@@ -125,10 +142,10 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int, id_column: str =
         c = counter(vocabulary)
         for batch in batches:
             for a, b, texts in slices(batch.column(2)):
-                n = c.counts(texts)
+                n, cuts = c.counts(texts, limit if with_cut else None)
                 columns = [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())]
                 if with_cut:
-                    columns.append(pa.array([len(t) if x <= limit else c.longest_prefix(t, limit) for t, x in zip(texts, n, strict=True)], pa.int64()))
+                    columns.append(pa.array(cuts, pa.int64()))
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     schema = f"id {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean" + ", cut bigint" * with_cut
@@ -136,9 +153,9 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int, id_column: str =
 
 
 def op4_token_counts(spark, sf_dir: str) -> DataFrame:
-    """Token counts of every document under the piece vocabulary, against a window of 4,096 tokens."""
+    """Token counts of every document under the piece vocabulary, and where a window of 4,096 tokens cuts it."""
     import public_tokenizers
 
     from agora.llm.common import table
 
-    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), 4096)
+    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), 4096, with_cut=True)

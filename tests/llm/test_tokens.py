@@ -53,6 +53,31 @@ def test_counts_match_the_library_at_every_prefix(spark):
     for i, t in enumerate([*TEXTS, ""]):
         n = len(library.encode(t))
         assert (rows[i].n_tokens, rows[i].n_bytes, rows[i].over_limit) == (n, len(t.encode()), n > 5)
+        if len(t) < 100:
+            assert rows[i].cut == max(p for p in range(len(t) + 1) if len(library.encode(t[:p])) <= 5)
+
+
+def test_cuts_match_the_counts_of_all_prefixes():
+    import random
+
+    c, draw = token_counts.PrefixCounter(PIECES), random.Random(5)
+    alphabet = [*"aeinorst" * 3, *"  .,-1é漢😀▁", "tion", " the", "zq"]
+    for _ in range(400):
+        t = "".join(draw.choices(alphabet, k=draw.randrange(60)))
+        every = c.at_every_prefix(t)
+        assert c.counts([t])[0][0] == every[-1] and len(every) == len(t) + 1
+        for budget in range(every[-1] + 2):
+            assert c.longest_prefix(t, budget) == max(p for p, n in enumerate(every) if n <= budget)
+
+
+def test_very_long_and_repeated_texts_and_clashing_names(spark):
+    library, pieces = Tokenizer.from_file(WORDS), sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    long = "the attention of 123 words, isn't it? " * 20_000 + "漢" * 5_000
+    df = spark.createDataFrame([(1, long, "x"), (1, long, "y"), (2, "", "z")], "doc_id long, text string, cut string")
+    ids = library.encode(long, add_special_tokens=False).ids
+    assert [(r.doc_id, r.n_tokens) for r in bpe.encode_decode(df, WORDS, with_ids=False).orderBy("doc_id").collect()] == [(1, len(ids)), (1, len(ids)), (2, 0)]
+    n = len(pieces.encode(long))
+    assert [(r.doc_id, r.n_tokens) for r in token_counts.token_counts(df, PIECES, 4096, with_cut=True).orderBy("doc_id").collect()] == [(1, n), (1, n), (2, 0)]
 
 
 def test_empty_table(spark):
