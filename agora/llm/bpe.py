@@ -130,16 +130,19 @@ def slices(texts, most: int = 1 << 21) -> Iterator[tuple[int, int, list[str]]]:
             start, held = k, 0
 
 
-def encode_decode(docs: DataFrame, vocabulary: str, id_column: str = "doc_id", text_column: str = "text", with_ids: bool = True, reuse: bool = True) -> DataFrame:
-    """One row per document: its id, n_tokens, and either ``ids`` and ``decoded`` or only their digests.
+def encode_decode(docs: DataFrame, vocabulary: str, id_column: str = "doc_id", text_column: str = "text", with_ids: bool = True, reuse: bool = True, digests: bool | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: its id, columns ``keep``, n_tokens, and ids, decoded text, digests or ids with digests.
 
     With ``with_ids`` the columns are (id, n_tokens, ids array<int>, decoded string);
-    without, (id, n_tokens, ids_sha256, decoded_sha256). With ``reuse`` a Python worker keeps encoder
+    without, (id, n_tokens, ids_sha256, decoded_sha256); with both ``with_ids`` and ``digests``
+    (id, n_tokens, ids, ids_sha256, decoded_sha256). Names in ``keep`` differ from these. With ``reuse`` a Python worker keeps encoder
     and words for its next task; without, they end with the task, for jobs with more workers than cores.
     """
-    source = docs.select(F.col(f"`{id_column}`").alias("id"), F.coalesce(F.col(f"`{text_column}`"), F.lit("")).alias("text"))
-    kind = source.schema["id"].dataType.simpleString()
-    tail = "ids array<int>, decoded string" if with_ids else "ids_sha256 string, decoded_sha256 string"
+    digests = not with_ids if digests is None else digests
+    source = docs.select(F.col(f"`{id_column}`").alias("id"), *[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(f"`{text_column}`"), F.lit("")).alias("_text"))
+    kept = len(source.columns) - 1
+    tail = ["ids array<int>"] * with_ids + (["ids_sha256 string", "decoded_sha256 string"] if digests else ["decoded string"])
+    names = [*source.columns[:kept], "n_tokens", *[f.split()[0] for f in tail]]
 
     @trimmed
     def run(batches):
@@ -150,19 +153,19 @@ def encode_decode(docs: DataFrame, vocabulary: str, id_column: str = "doc_id", t
             forget()
         e = encoder(vocabulary) if reuse else WordEncoder(vocabulary)
         for batch in batches:
-            keys = batch.column(0)
-            for a, b, texts in slices(batch.column(1)):
-                n, x, y = [], [], []
+            for a, b, texts in slices(batch.column(kept)):
+                n, made = [], [[] for _ in tail]
                 for ids, decoded in e.encode_texts(texts):
                     n.append(len(ids) // 4)
-                    x.append(np.frombuffer(ids, "<i4") if with_ids else hashlib.sha256(ids).hexdigest())
-                    y.append(decoded if with_ids else hashlib.sha256(decoded.encode()).hexdigest())
-                yield pa.RecordBatch.from_arrays(
-                    [keys.slice(a, b - a), pa.array(n, pa.int64()), pa.array(x, pa.list_(pa.int32()) if with_ids else pa.string()), pa.array(y, pa.string())],
-                    names=["id", "n_tokens", *[f.split()[0] for f in tail.split(", ")]],
-                )
-
-    return source.mapInArrow(run, f"id {kind}, n_tokens bigint, {tail}").withColumnRenamed("id", id_column)
+                    row = [np.frombuffer(ids, "<i4")] if with_ids else []
+                    row += [hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()] if digests else [decoded]
+                    for column, value in zip(made, row, strict=True):
+                        column.append(value)
+                made = [pa.array(v, pa.string() if f.endswith("string") else pa.list_(pa.int32())) for f, v in zip(tail, made, strict=True)]
+                yield pa.RecordBatch.from_arrays([*[c.slice(a, b - a) for c in batch.columns[:kept]], pa.array(n, pa.int64()), *made], names=names)
+
+    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:kept]], "n_tokens bigint", *tail])
+    return source.mapInArrow(run, schema).withColumnRenamed("id", id_column)
 
 
 def op3_bpe_encode_decode(spark, sf_dir: str) -> DataFrame:

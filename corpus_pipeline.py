@@ -7,8 +7,8 @@ as the next one's input.
 1. quality      documents that the classifier and their site's posterior reject go
 2. ngram_join   of each group of near-duplicate documents the one with the least id stays
 3. secrets      every secret span in the text is replaced by ``[secret]``, n_chars follows
-4. mixing       rows are put in the order of a mix by target weights
-5. bpe          ids and decoded text under the word vocabulary
+4. mixing       rows are put in the order of a mix by target weights: that of the files written, and of the rows in them
+5. bpe          ids under the word vocabulary, digests of ids and decoded text, and the row's place in the mix
 
 Texts, not ids, decide in stage 2: of each group of near-duplicate texts one row
 stays, that with the least id (one without an id only if none has one), and texts
@@ -17,6 +17,7 @@ without words all stay. Other columns than those of ``documents`` are carried al
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,10 +70,22 @@ def stage_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return mixed.repartitionByRange("mix_position").sortWithinPartitions("mix_position").select(docs.columns)
 
 
+def with_place(docs: DataFrame) -> DataFrame:
+    """Adds mix_file and mix_row: the number of the file that a row was read from and its place there, by which the
+    mix is ordered. Null for rows that come from no file."""
+    try:
+        docs.select("_metadata.row_index")
+    except AnalysisException:  # not read from files
+        return docs.withColumns({"mix_file": F.lit(None).cast("int"), "mix_row": F.lit(None).cast("bigint")})
+    number = F.regexp_extract(F.col("_metadata.file_name"), r"^part-(\d+)-", 1)
+    return docs.withColumns({"mix_file": F.when(number != "", number.try_cast("int")), "mix_row": F.col("_metadata.row_index")})
+
+
 def stage_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return bpe.encode_decode(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=False, reuse=False)
+    placed = with_place(docs.select("doc_id", "text"))
+    return bpe.encode_decode(placed, public_tokenizers.path("word_bpe_49k.json"), digests=True, reuse=False, keep=("mix_file", "mix_row"))
 
 
 STAGES = [

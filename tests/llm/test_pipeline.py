@@ -37,6 +37,23 @@ def test_stages(spark):
     assert whole == {(r.doc_id, r.ids_sha256) for r in after["bpe"]}
 
 
+def test_last_stage_carries_the_order_of_the_mix_and_the_ids(spark, tmp_path):
+    import hashlib
+    import struct
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    mixed = corpus_pipeline.stage_mixing(spark, docs, SF)
+    want = [r.doc_id for r in corpus_pipeline.mixing.mix(docs).orderBy("mix_position").collect()]
+    mixed.repartitionByRange(4, *[F.array_position(F.lit(want), F.col("doc_id"))]).sortWithinPartitions(F.array_position(F.lit(want), F.col("doc_id"))).write.parquet(f"{tmp_path}/several")
+    mixed.write.parquet(f"{tmp_path}/mixed")
+    for name in ("mixed", "several"):
+        rows = corpus_pipeline.stage_bpe(spark, spark.read.parquet(f"{tmp_path}/{name}"), SF).collect()
+        assert [r.doc_id for r in sorted(rows, key=lambda r: (r.mix_file, r.mix_row))] == want
+        assert len({r.mix_file for r in rows}) > 1 or name == "mixed"
+    for r in rows:
+        assert hashlib.sha256(struct.pack(f"<{len(r.ids)}I", *r.ids)).hexdigest() == r.ids_sha256 and len(r.ids) == r.n_tokens
+
+
 def test_stages_keep_null_rows(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(30)
     odd = docs.unionByName(docs.limit(2).withColumns({"text": F.lit(None).cast("string"), "source": F.lit(None).cast("string"), "n_chars": F.lit(None).cast("bigint")}))
