@@ -73,7 +73,7 @@ class WordEncoder:
     def learn(self, chunks: set[str]) -> None:
         parts, packed = {c: self.pieces(c) for c in chunks}, self.packed
         encoded = {}
-        for word, last in self.bpe.walk(w for ws in parts.values() for w in ws):
+        for word, last, _ in self.bpe.walk(w for ws in parts.values() for w in ws):
             encoded[word] = b"".join([packed[t] for t in self.bpe.chain(last)])
         for c, ws in parts.items():
             self.cache[c] = encoded[ws[0]] if len(ws) == 1 else b"".join([encoded[w] for w in ws])

@@ -37,6 +37,8 @@ class PrefixBPE:
         for known in self.lengths.values():
             known.sort(reverse=True)
         self.spines: dict[str, tuple | None] = {}
+        #: Whether merging a token's symbols gives the token; None while it isn't known.
+        self.whole: dict[str, bool | None] = dict.fromkeys(tokens)
         self.pairs: dict[str, dict[str, bool]] = {}
 
     def merge(self, symbols: list[str]) -> tuple[list[str], list[tuple[int, int, str]]]:
@@ -95,17 +97,10 @@ class PrefixBPE:
             row[b] = known
         return known
 
-    def last_token(self, word: str, end: int, last: list[str]) -> str:
-        for length in self.lengths.get(word[end - 2 : end], ()) if end > 1 else ():
-            if length <= end:
-                t = word[end - length : end]
-                if t in self.tokens and self.spine(t)[0] and (length == end or self.adjacent(last[end - length], t)):
-                    return t
-        return word[end - 1]
-
-    def walk(self, words: Iterable[str]) -> Iterator[tuple[str, list[str]]]:
-        """Each distinct word, in sorted order, with the last token of each of its prefixes
-        (index 0 is empty). The list is reused: read it before going on."""
+    def walk(self, words: Iterable[str]) -> Iterator[tuple[str, list[str], int]]:
+        """Each distinct word, in sorted order, with the last token of each of its prefixes (index 0 is empty) and
+        how many characters it shares with the word before. The list is reused: read it before going on."""
+        lengths, pairs, whole = self.lengths, self.pairs, self.whole
         last: list[str] = [""]
         before = ""
         for word in sorted(set(words)):
@@ -116,9 +111,26 @@ class PrefixBPE:
                 shared += 1
             del last[shared + 1 :]
             for end in range(shared + 1, len(word) + 1):
-                last.append(self.last_token(word, end, last))
+                found = word[end - 1]
+                for length in lengths.get(word[end - 2 : end], ()) if end > 1 else ():
+                    if length > end:
+                        continue
+                    t = word[end - length : end]
+                    reached = whole.get(t, False)
+                    if reached is None:
+                        reached = whole[t] = self.spine(t)[0]
+                    if not reached:
+                        continue
+                    if length < end:
+                        a = last[end - length]
+                        fits = pairs[a].get(t) if a in pairs else None
+                        if not (self.adjacent(a, t) if fits is None else fits):
+                            continue
+                    found = t
+                    break
+                last.append(found)
             before = word
-            yield word, last
+            yield word, last, shared
 
     @staticmethod
     def chain(last: list[str]) -> list[str]:

@@ -41,10 +41,11 @@ class PrefixCounter:
         self.costs: dict[str, int] = {}
 
     def cost(self, token: str) -> int:
+        """Tokens for a character that the vocabulary lacks."""
         if token not in self.costs:
             if len(self.costs) > CACHE_WORDS:
                 self.costs = {}
-            self.costs[token] = 1 if token in self.bpe.tokens else len(token.encode("utf-8", "surrogatepass"))
+            self.costs[token] = len(token.encode("utf-8", "surrogatepass"))
         return self.costs[token]
 
     @staticmethod
@@ -59,13 +60,16 @@ class PrefixCounter:
             self.cache[w] = self.older[w]
         missing -= self.older.keys()
         #: The counts of the trie's current path; a shared prefix keeps its own.
-        before, counts = "", [0]
-        for word, last in self.bpe.walk(missing):
-            shared = len(_common(word, before))
+        counts, tokens = [0], self.bpe.tokens
+        for word, last, shared in self.bpe.walk(missing):
             del counts[shared + 1 :]
             for end in range(shared + 1, len(last)):
-                counts.append(counts[end - len(last[end])] + self.cost(last[end]))
-            self.cache[word] = bytes(counts) if max(counts) < 256 else array("Q", counts)
+                t = last[end]
+                counts.append(counts[end - len(t)] + (1 if t in tokens else self.cost(t)))
+            try:
+                self.cache[word] = bytes(counts)
+            except ValueError:  # a count over 255
+                self.cache[word] = array("Q", counts)
             before = word
 
     def counts(self, texts: list[str], budget: int | None = None) -> tuple[list[int], list[int]]:
@@ -92,9 +96,9 @@ class PrefixCounter:
         return self.counts([text], budget)[1][0]
 
     def _cut(self, stretches: list[str], budget: int) -> int:
-        """Where a text over the budget is cut: every stretch costs a token at least, so no later one than that in
-        which the running sum meets the budget has room for more. Within it counts may fall, so its end comes first."""
-        ends = list(accumulate(self.cache[x][-1] for x in stretches))
+        """Where a text over the budget is cut: every stretch costs a token at least, so the budget is met within as many
+        stretches, and none after that one has room. Within it counts may fall, so its end comes first."""
+        ends = list(accumulate([self.cache[x][-1] for x in stretches[: budget + 1]]))
         k = bisect_left(ends, budget)
         if k < len(ends) and ends[k] == budget:
             k += 1
@@ -110,15 +114,6 @@ class PrefixCounter:
         return list(accumulate(self.cache[x][-1] for x in s))
 
 
-def _common(a: str, b: str) -> str:
-    n = 0
-    for x, y in zip(a, b, strict=False):
-        if x != y:
-            break
-        n += 1
-    return a[:n]
-
-
 _counters: dict[str, PrefixCounter] = per_worker()
 
 
