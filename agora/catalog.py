@@ -15,6 +15,7 @@ from agora.config import CorpusConfig, RefineConfig, TopicConfig
 from agora.functions import text as T
 from agora.functions.dates import detect
 from agora.operators import canonical as C
+from agora.operators import counting as K
 from agora.operators import explore as E
 from agora.operators import figures as G
 from agora.operators import funnel as N
@@ -529,8 +530,7 @@ def topic_info(spark, sf_dir):
 g AS (SELECT topic, unnest(list_concat(t, list_transform(range(1, greatest(len(t), 1)), lambda i: t[i] || ' ' || t[i + 1]))) AS term FROM tk), c AS (SELECT topic, term, count(*) AS tf FROM g GROUP BY ALL),
 d AS (SELECT term, count(*) AS df FROM c GROUP BY ALL) SELECT topic, term, tf FROM c WHERE term IN (SELECT term FROM d WHERE df >= 5 AND df <= 0.95 * (SELECT count(DISTINCT topic) FROM c))""")
 def count_vectorizer(spark, sf_dir):
-    grams = M.ngrams(M.words(F.col("text")), 2, ["the", "and", "of", "to", "in"])
-    return M.vectorized(M.term_counts(B.read(spark, sf_dir, "documents"), "source", grams), TopicConfig())
+    return K.vectorized(B.read(spark, sf_dir, "documents"), "source", "text", 2, ["the", "and", "of", "to", "in"], TopicConfig())
 
 
 @query("""WITH tok AS (SELECT source AS topic, CAST(2013 + doc_id % 4 AS INTEGER) AS bin, unnest(regexp_extract_all(lower(text), '[a-z][a-z]+')) AS term FROM documents), tf AS (SELECT topic, bin, term, count(*) AS tf FROM tok GROUP BY ALL),

@@ -304,3 +304,26 @@ def test_white_space_is_collapsed_like_pythons(spark):
     space = f"[{T.SPACES} ]+"
     want = [None if t is None else re.sub(space, " ", t).strip(" ") for t in texts]
     assert [r.c for r in rows] == want and [r.n for r in rows] == [len((w or "").split(" ")) if w else 0 for w in want]
+
+
+def test_counts_dealt_by_term_are_those_of_the_expressions(spark, monkeypatch):
+    """Texts are cut into many pieces and terms into many parts; no word is exploded into a row."""
+    from agora.config import TopicConfig
+    from agora.operators import counting as K
+
+    rows = [(1, "a", "The cat, the CAT's tail İstanbul Kelvin café x"), (2, "a", None), (3, "b", ""), (4, None, "one two one"), (5, "c", "the of"), (6, "b", "q"), (7, "d", "one  two\nthree " + "z" * 1000)]
+    odd = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    monkeypatch.setattr(K, "PIECE", 50_000), monkeypatch.setattr(K, "PART", 20_000)
+    for d, n, stop, cfg in ((odd, 1, None, TopicConfig(min_df=1, max_df=1.0)), (odd, 3, ["the", "of"], TopicConfig(min_df=1, max_df=1.0)), (docs, 2, ["the"], TopicConfig()), (docs, 2, None, TopicConfig(max_features=7))):
+        got = K.vectorized(d, "source", "text", n, stop, cfg)
+        assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()
+        want = M.vectorized(M.term_counts(d, "source", M.ngrams(M.words(F.col("text")), n, stop)), cfg)
+        rows_of = lambda f: sorted(map(str, f.select("topic", "term", "tf").collect()))
+        assert rows_of(got) == rows_of(want) != []
+
+
+def test_count_vectorizer_reads_texts_in_columns(spark):
+    from agora import catalog
+
+    assert "Generate" not in catalog.queries()["count_vectorizer"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
