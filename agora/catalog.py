@@ -25,6 +25,7 @@ from agora.operators import refine as P
 from agora.operators import topics as M
 from agora.plans import bindings as B
 from agora.sources import forum as S
+from agora.written import written
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -629,13 +630,16 @@ def topic_hierarchy(spark, sf_dir):
     return spark.createDataFrame(M.hierarchy(M.tfidf(_counts(spark, sf_dir))), "parent int, left int, right int, similarity double")
 
 
-def _info(spark, sf_dir):
-    terms = M.ngrams(M.words(F.col("text")), 1, M.stopwords())
-    w = M.ctfidf(M.term_counts(B.read(spark, sf_dir, "documents"), "source", terms))
+def _info(spark, sf_dir, texts: bool = True, words: bool = True):
+    """The topic table, with representative texts and with the MMR and KeyBERT words as asked for."""
+    docs = B.read(spark, sf_dir, "documents")
+    w = written(M.top_words(K.top_weights(docs, "source", "text", M.stopwords(), 30), 30).drop("rank"))
+    info = M.topic_info(docs, w, "source", "text" if texts else None).filter(F.col("Representation").isNotNull())
+    if words:
+        m = M.mmr(w).join(M.keybert(w, M.hashed_similarity(docs, "source", "text", w)), "topic")
+        info = info.join(m.withColumnRenamed("topic", "Topic"), "Topic")
     order = F.regexp_extract("Topic", r"(\d+)", 1).cast("int")
-    info = M.topic_info(B.read(spark, sf_dir, "documents"), w, "source", "text").withColumn("Name", F.regexp_replace("Name", "^src", "")).withColumn("Topic", order)
-    m = M.mmr(w).join(M.keybert(w, _similarity(B.read(spark, sf_dir, "documents"), w)), "topic").select(F.regexp_extract("topic", r"(\d+)", 1).cast("int").alias("_t"), "MMR", "KeyBERT")
-    return M.fallback_label(info.join(m, F.col("Topic") == F.col("_t")).drop("_t"))
+    return M.fallback_label(info.withColumn("Name", F.regexp_replace("Name", "^src", "")).withColumn("Topic", order))
 
 
 @query()
@@ -651,7 +655,7 @@ def refined_labels(spark, sf_dir):
 
 @query()
 def representative_docs_clean(spark, sf_dir):
-    return P.clean_representatives(_info(spark, sf_dir)).select("Topic", "Representative_Docs")
+    return P.clean_representatives(_info(spark, sf_dir, words=False)).select("Topic", "Representative_Docs")
 
 
 @query()

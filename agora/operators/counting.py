@@ -156,6 +156,63 @@ def vectorized(docs: DataFrame, topic: str, text: str, n: int, stop: list[str] |
     return d
 
 
+def top_weights(docs: DataFrame, topic: str, text: str, stop: list[str] | None, n: int) -> DataFrame:
+    """(topic, term, tf, weight): of ``topics.ctfidf`` of the words' counts, the rows that ``topics.top_words`` can take for n."""
+    size = sizes(docs, topic, text, stop).collect()
+    of = {r.topic: r.words for r in size if r.words}
+    mean = sum(of.values()) / max(len(of), 1)
+    kind = docs.schema[topic].dataType
+    schema = P.StructType([P.StructField("topic", kind), P.StructField("term", P.StringType()), P.StructField("tf", P.LongType()), P.StructField("_f", P.LongType()), P.StructField("_n", P.LongType())])
+
+    def best(dealt: pa.Table) -> pa.Table:
+        topics, terms, t, code, tf = _summed(dealt)
+        total = np.bincount(code, tf, len(terms)).astype(np.int64)[code]
+        whole = np.array([of[x] for x in topics.to_pylist()])[t]
+        weight = tf / whole * np.log1p(mean / total)
+        order = np.lexsort((-weight, t))
+        first = np.flatnonzero(np.diff(t[order], prepend=-1))
+        size = np.diff(np.append(first, len(order)))
+        least = weight[order][first + np.minimum(size, n) - 1] - 2e-9  # ranks are by rounded weights, then by terms
+        kept = weight >= least[np.searchsorted(t[order][first], t)]
+        columns = [topics.take(pa.array(t[kept])), terms.take(pa.array(code[kept])), *(pa.array(x[kept], pa.int64()) for x in (tf, total, whole))]
+        return pa.table(columns, names=schema.names)
+
+    d = _dealt(docs, topic, text, 1, stop, _parts(sum(r.bytes for r in size))).groupBy("part").applyInArrow(best, schema)
+    return d.select("topic", "term", "tf", (F.col("tf") / F.col("_n") * F.log(1 + F.lit(mean) / F.col("_f"))).alias("weight"))
+
+
+def likeness(docs: DataFrame, topic: str, key: str, text: str, listed: DataFrame) -> DataFrame:
+    """(_topic, _key, _like): the cosine of each text's word counts to its topic's words, from (topic, term, weight); 0 without any of them."""
+    lists = listed.groupBy("topic").agg(F.collect_list("term").alias("terms"), F.collect_list("weight").alias("weights")).withColumnRenamed("topic", "_t")
+    d = docs.select(F.col(topic).alias("_topic"), F.col(key).alias("_key"), F.col(text).alias("text")).join(lists, F.col("_topic") == F.col("_t"), "left").drop("_t")
+    schema = P.StructType([*d.select("_topic", "_key").schema.fields, P.StructField("_like", P.DoubleType())])
+
+    def run(batches):
+        for batch in batches:
+            for piece in pieces(batch, "text"):
+                t, topics = _coded(piece["_topic"])
+                at, words = split(piece["text"])
+                code, terms = _coded(words)
+                size = max(len(terms), 1)
+                found, tf = np.unique(at * size + code, return_counts=True)
+                of, code = found // size, found % size
+                length = np.sqrt(np.bincount(of, tf.astype(float) ** 2, len(piece)))
+                weight = {}
+                for k, row in zip(*np.unique(t, return_index=True), strict=True):
+                    own = pc.index_in(piece["terms"][int(row)].values or pa.array([], pa.string()), value_set=terms).to_pylist()
+                    weight |= {int(k) * size + c: w for c, w in zip(own, piece["weights"][int(row)].as_py() or [], strict=True) if c is not None}
+                known = np.array(sorted(weight), np.int64)
+                value = np.array([weight[k] for k in known.tolist()] + [0.0])
+                wanted = t[of] * size + code
+                place = np.searchsorted(known, wanted)
+                hit = place < len(known)
+                hit[hit] = known[place[hit]] == wanted[hit]
+                dot = np.bincount(of[hit], tf[hit] * value[place[hit]], len(piece))
+                yield pa.RecordBatch.from_arrays([piece["_topic"], piece["_key"], pa.array(np.divide(dot, length, out=np.zeros(len(piece)), where=length > 0))], schema.names)
+
+    return d.mapInArrow(run, schema).withColumn("_like", F.round("_like", 9))
+
+
 def murmur3(words: pa.Array, seed: int = 42) -> np.ndarray:
     """The signed 32-bit hash by which ``HashingTF`` places words."""
     ends, data = _bytes(words)
@@ -179,3 +236,24 @@ def murmur3(words: pa.Array, seed: int = 42) -> np.ndarray:
     h = mul(h ^ (h >> np.uint32(16)), 0x85EBCA6B)
     h = mul(h ^ (h >> np.uint32(13)), 0xC2B2AE35)
     return (h ^ (h >> np.uint32(16))).view(np.int32)
+
+
+def hashed_sums(docs: DataFrame, topic: str, text: str, size: int) -> DataFrame:
+    """(topic, i, tf, df): words that ``HashingTF`` places at i, and texts that have any there, for every i of 0 to size - 1."""
+    schema = P.StructType([P.StructField("topic", docs.schema[topic].dataType), P.StructField("i", P.IntegerType()), P.StructField("tf", P.LongType()), P.StructField("df", P.LongType())])
+
+    def run(batches):
+        for batch in batches:
+            for piece in pieces(batch, "text"):
+                t, topics = _coded(piece["topic"])
+                at, words = split(piece["text"])
+                code, terms = _coded(words)
+                place = (murmur3(terms).astype(np.int64) % size)[code] if len(code) else code
+                cells = len(topics) * size
+                tf = np.bincount(t[at] * size + place, minlength=cells)
+                has = np.unique(at * size + place)
+                df = np.bincount(t[has // size] * size + has % size, minlength=cells)
+                yield pa.RecordBatch.from_arrays([topics.take(pa.array(np.repeat(np.arange(len(topics)), size))), pa.array(np.tile(np.arange(size, dtype=np.int32), len(topics))), pa.array(tf, pa.int64()), pa.array(df, pa.int64())], schema.names)
+
+    d = docs.select(F.col(topic).alias("topic"), F.col(text).alias("text")).mapInArrow(run, schema)
+    return d.groupBy("topic", "i").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))

@@ -8,6 +8,7 @@ k-means, with small clusters as outliers. Its ids are ordered by size.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.ml.feature import HashingTF, IDF, Normalizer, PCA, StopWordsRemover
@@ -18,6 +19,8 @@ from pyspark.sql import types as P
 from agora import config
 from agora.config import RefineConfig, TopicConfig
 from agora.functions.vectors import cosine, dot
+from agora.operators.counting import hashed_sums, likeness
+from agora.written import written
 
 
 def stopwords(cfg_extra=config.EXTRA_STOPWORDS, keep_negations: bool = True, base: list[str] | None = None) -> list[str]:
@@ -85,13 +88,8 @@ def topic_info(docs: DataFrame, weights: DataFrame, topic: str, text: str | None
     d = d.withColumn("Name", name)
     if text:
         # documents are ranked by their likeness to the topic's words, on ids alone; texts are fetched for the chosen ones
-        listed = top_words(weights, n).select(F.col("topic").alias("_topic"), "term", "weight")
-        held = docs.select(F.col(topic).alias("_topic"), F.col(key).alias("_key"), F.explode(words(F.col(text))).alias("term")).groupBy("_topic", "_key", "term").agg(F.count("*").alias("_tf"))
-        length_of = held.groupBy("_topic", "_key").agg(F.sqrt(F.sum(F.col("_tf") * F.col("_tf"))).alias("_length"))
-        likeness = held.join(listed, ["_topic", "term"]).groupBy("_topic", "_key").agg(F.sum(F.col("_tf") * F.col("weight")).alias("_dot"))
-        scored = likeness.join(length_of, ["_topic", "_key"]).select("_topic", "_key", F.round(F.col("_dot") / F.col("_length"), 9).alias("_like"))
-        named = docs.select(F.col(topic).alias("_topic"), F.col(key).alias("_key")).join(scored, ["_topic", "_key"], "left")
-        best = Window.partitionBy("_topic").orderBy(F.coalesce("_like", F.lit(0.0)).desc(), "_key")
+        named = likeness(docs, topic, key, text, top_words(weights, n))
+        best = Window.partitionBy("_topic").orderBy(F.desc("_like"), "_key")
         chosen = named.withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= representatives)
         reps = docs.join(chosen.select("_topic", "_key", "_r"), F.col(topic).eqNullSafe(F.col("_topic")) & (F.col(key) == F.col("_key")))
         reps = reps.groupBy(F.col(topic).alias("topic")).agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", F.col(text).alias("t")))), lambda x: x["t"]).alias("Representative_Docs"))
@@ -282,12 +280,36 @@ def keyterms(weights: DataFrame, similarity: DataFrame, n: int = 10) -> DataFram
 def term_similarity(vectors: DataFrame, topic: str, weights: DataFrame, embed: Callable[[DataFrame, str], DataFrame], n: int = 10) -> DataFrame:
     """(topic, term, sim): cosine of each topic's candidates to the mean ``embedding`` of its documents. ``embed`` adds the
     terms' ``embedding`` in the documents' space."""
+    return _to_centroids(centroids(vectors, topic, "embedding").withColumnRenamed(topic, "_g"), weights, embed, n)
+
+
+def _to_centroids(means: DataFrame, weights: DataFrame, embed: Callable[[DataFrame, str], DataFrame], n: int) -> DataFrame:
     candidates = top_words(weights, 3 * n).select("topic", "term")
     terms = embed(candidates.select("term").distinct(), "term").select("term", "embedding")
-    d = candidates.join(terms, "term").join(centroids(vectors, topic, "embedding").withColumnRenamed(topic, "_g"), F.col("topic").eqNullSafe(F.col("_g")))
+    d = candidates.join(terms, "term").join(means, F.col("topic").eqNullSafe(F.col("_g")))
     return d.select("topic", "term", cosine(F.col("embedding"), F.col("centroid")).alias("sim"))
 
 
+def hashed_similarity(docs: DataFrame, topic: str, text: str, weights: DataFrame, n: int = 10, size: int = 256) -> DataFrame:
+    """``term_similarity`` in the space of ``embed``. The mean of hashed TF-IDF vectors follows from a topic's sums, so
+    no document is embedded; sums are doubles, where ``embed`` rounds each vector to floats."""
+    sums = written(hashed_sums(docs, topic, text, size))
+    rows = docs.groupBy(F.col(topic).alias("_g")).agg(F.count("*").alias("_n"))
+    total = docs.count()
+    df = dict(sums.groupBy("i").agg(F.sum("df")).collect())
+    idf = F.array(*[F.lit(math.log((total + 1) / (df.get(i, 0) + 1))) for i in range(size)])
+    means = sums.groupBy(F.col("topic").alias("_t")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "tf"))), lambda x: x["tf"]).alias("_tf")).join(rows, F.col("_t").eqNullSafe(F.col("_g")))
+    means = means.select("_g", F.zip_with("_tf", idf, lambda x, w: x * w / F.col("_n")).alias("centroid"))
+
+    def embed_terms(d: DataFrame, column: str) -> DataFrame:
+        from pyspark.ml.functions import vector_to_array
+
+        d = HashingTF(numFeatures=size, inputCol="_tokens", outputCol="_v").transform(d.withColumn("_tokens", words(F.col(column))))
+        return d.withColumn("embedding", F.zip_with(vector_to_array("_v"), idf, lambda x, w: (x * w).cast("float")))
+
+    return _to_centroids(means, weights, embed_terms, n)
+
+
 def keybert(weights: DataFrame, similarity: DataFrame, n: int = 10) -> DataFrame:
     """(topic, KeyBERT): the terms of ``keyterms`` in their order."""
     d = keyterms(weights, similarity, n).groupBy("topic").agg(F.array_sort(F.collect_list(F.struct("rank", "term"))).alias("_k"))

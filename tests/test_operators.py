@@ -327,3 +327,42 @@ def test_count_vectorizer_reads_texts_in_columns(spark):
     from agora import catalog
 
     assert "Generate" not in catalog.queries()["count_vectorizer"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_representatives_are_ranked_without_rows_for_words(spark):
+    from agora.operators import counting as K
+
+    docs = spark.createDataFrame([(1, "a", "car car road"), (2, "a", "car sea"), (3, "a", None), (4, "b", "sea"), (5, "c", "road"), (6, None, "car"), (7, "a", "x y")], "doc_id int, source string, text string")
+    w = spark.createDataFrame([("a", "car", 0.5), ("a", "road", 0.2), ("b", "sea", 0.3), ("b", "air", 0.1)], "topic string, term string, weight double")
+    like = {r._key: r._like for r in K.likeness(docs, "source", "doc_id", "text", w).collect()}
+    want = {1: 1.2 / 5**0.5, 2: 0.5 / 2**0.5, 3: 0.0, 4: 0.3, 5: 0.0, 6: 0.0, 7: 0.0}
+    assert like.keys() == want.keys() and all(abs(like[k] - v) < 1e-8 for k, v in want.items())
+    d = M.topic_info(docs, w, "source", "text", representatives=2)
+    assert "Generate" not in d._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.Topic: r.Representative_Docs for r in d.collect() if r.Topic} == {"a": ["car car road", "car sea"], "b": ["sea"], "c": ["road"]}
+
+
+def test_top_words_of_dealt_counts_are_those_of_all(spark, monkeypatch):
+    from agora.operators import counting as K
+
+    monkeypatch.setattr(K, "PIECE", 50_000), monkeypatch.setattr(K, "PART", 20_000)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows_of = lambda d: sorted((r.topic, r["rank"], r.term, r.tf, round(r.weight, 12)) for r in M.top_words(d, 10).collect())
+    want = M.ctfidf(M.term_counts(docs, "source", M.ngrams(M.words(F.col("text")), 1, M.stopwords())))
+    assert rows_of(K.top_weights(docs, "source", "text", M.stopwords(), 10)) == rows_of(want)
+
+
+def test_keybert_in_the_hashed_space_embeds_no_document(spark):
+    """Places of words are those of HashingTF, and similarities those of embedded documents."""
+    import pyarrow as pa
+    from pyspark.ml.feature import HashingTF
+    from agora.operators import counting as K
+
+    tokens = ["ab", "abc", "abcd", "abcde", "z" * 77]
+    assert [int(h) % 256 for h in K.murmur3(pa.array(tokens))] == [HashingTF(numFeatures=256).indexOf(t) for t in tokens]
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    w = M.top_words(K.top_weights(docs, "source", "text", M.stopwords(), 30), 30).drop("rank").persist()
+    embed = M.embedder(docs, "text")
+    want = {(r.topic, r.term): r.sim for r in M.term_similarity(embed(docs, "text"), "source", w, embed).collect()}
+    got = {(r.topic, r.term): r.sim for r in M.hashed_similarity(docs, "source", "text", w).collect()}
+    assert got.keys() == want.keys() and max(abs(got[k] - want[k]) for k in want) < 1e-6
