@@ -644,7 +644,7 @@ def _info(spark, sf_dir, texts: bool = True, words: bool = True):
 
 @query()
 def label_candidates(spark, sf_dir):
-    d = _info(spark, sf_dir)
+    d = _info(spark, sf_dir, texts=False)
     return d.select("Topic", F.array_join(P.candidates(d), " | ").alias("candidates"))
 
 
