@@ -650,7 +650,7 @@ def label_candidates(spark, sf_dir):
 
 @query()
 def refined_labels(spark, sf_dir):
-    return P.refine(_info(spark, sf_dir)).select("Topic", "Count", "topic_label_bert", "topic_label_refined", "topic_keywords_clean", "topic_keybert_clean")
+    return P.refine(_info(spark, sf_dir, texts=False)).select("Topic", "Count", "topic_label_bert", "topic_label_refined", "topic_keywords_clean", "topic_keybert_clean")
 
 
 @query()
