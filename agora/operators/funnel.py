@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from agora.functions import text as T
 from agora.operators import funnel_rules as R
+from agora.written import written
 
 TEXT_COLUMNS = ("topic_label_llm", "topic_summary_llm", "topic_label_refined", "topic_label_bert", "rep_doc_centroid", "rep_doc_farthest")
 
@@ -64,25 +65,25 @@ def prepare(df: DataFrame, weight: str | None = None, outlier: int = -1) -> Data
 def _stage_scores(stages) -> Column:
     """All stages with score and hits, best first, ties by priority. Stages are one literal array, so that the
     expression doesn't grow with their number."""
-    label, summary, centroid, text = F.col("_label"), F.col("_summary"), F.col("_centroid"), F.col("combined_text")
     ordered = sorted(stages, key=lambda s: s.priority)
     words = lambda w: F.array(*map(F.lit, w)).cast("array<string>")
     rules = F.array(*[F.struct(F.lit(-k).alias("order"), F.lit(s.name).alias("name"), words(s.include).alias("include"), words(s.exclude).alias("exclude")) for k, s in enumerate(ordered)])
     found = lambda w, c: F.filter(w, lambda k: F.contains(c, k))
     n = lambda w, c: F.size(found(w, c))
 
-    def scored(s):
-        score = n(s["include"], text) - n(s["exclude"], text) + n(s["include"], label) * 1.2 + n(s["include"], summary) * 0.8 + n(s["include"], centroid) * 0.5
-        return F.struct(score.cast("double").alias("score"), s["order"].alias("order"), s["name"].alias("name"), F.array_sort(F.array_distinct(found(s["include"], text))).alias("hits"))
+    def scored(s, of):
+        score = n(s["include"], of["text"]) - n(s["exclude"], of["text"]) + n(s["include"], of["label"]) * 1.2 + n(s["include"], of["summary"]) * 0.8 + n(s["include"], of["centroid"]) * 0.5
+        return F.struct(score.cast("double").alias("score"), s["order"].alias("order"), s["name"].alias("name"), F.array_sort(F.array_distinct(found(s["include"], of["text"]))).alias("hits"))
 
-    return F.sort_array(F.transform(rules, scored), asc=False)
+    # texts are cleaned once, outside the lambdas: inlined there they would be cleaned for each word
+    texts = F.struct(F.col("combined_text").alias("text"), *[clean(F.col(c)).alias(a) for c, a in (("topic_label_llm", "label"), ("topic_summary_llm", "summary"), ("rep_doc_centroid", "centroid"))])
+    return T.let(texts, lambda of: F.sort_array(F.transform(rules, lambda s: scored(s, of)), asc=False))
 
 
 def assign_stages(prepared: DataFrame, exclude_outliers: bool = True, stages=R.STAGES) -> DataFrame:
     """Stage, confidence, score, reason and hits of each topic."""
     d = prepared.filter(~F.col("is_outlier")) if exclude_outliers else prepared
-    d = d.withColumns({"_label": clean(F.col("topic_label_llm")), "_summary": clean(F.col("topic_summary_llm")), "_centroid": clean(F.col("rep_doc_centroid"))})
-    d = d.withColumn("_s", _stage_scores(stages)).drop("_label", "_summary", "_centroid")
+    d = d.withColumn("_s", _stage_scores(stages))
     best, second = F.element_at("_s", 1), F.coalesce(F.try_element_at("_s", F.lit(2))["score"], F.lit(0.0))
     clear, margin = best["score"] > 0, best["score"] - second
     ending = F.format_string("; score=%.2f, margin_vs_next=%.2f", best["score"], margin)
@@ -101,6 +102,22 @@ def assign_stages(prepared: DataFrame, exclude_outliers: bool = True, stages=R.S
     return out.withColumn("primary_signal", F.element_at(F.split("stage_reason", ";"), 1)).drop("_s", "_display")
 
 
+def assign_texts(df: DataFrame, weight: str | None = None, exclude_outliers: bool = True, stages=R.STAGES) -> DataFrame:
+    """``assign_stages`` of ``prepare``, with the topic's pain points as ``_all``: what follows from texts alone is found
+    once for each combination of texts, written, and joined to its topics."""
+    validate(df)
+    texts = [c for c in TEXT_COLUMNS if c in df.columns]
+    d = df.withColumns({c: F.coalesce(F.col(c).cast("string"), F.lit("")) for c in texts}).withColumn("_w", F.col(weight).cast("double") if weight else F.lit(1.0))
+    scored = assign_stages(prepare(d.select(*texts).distinct().withColumn("topic_id", F.lit("")), None), False, stages).withColumn("_all", pain_scores())
+    scored = written(scored.drop("topic_id", "topic_weight", "is_outlier"))
+    rest = [c for c in scored.columns if c not in texts]
+    scored = scored.select(*[F.col(c).alias(f"_{c}") for c in texts], *rest)
+    same = [F.col(c) == F.col(f"_{c}") for c in texts]
+    found = d.drop(*rest).join(scored, same).drop(*[f"_{c}" for c in texts])
+    out = found.withColumns({"topic_weight": F.col("_w"), "is_outlier": F.coalesce(F.col("topic_id").cast("string") == "-1", F.lit(False))}).drop("_w")
+    return out.filter(~F.col("is_outlier")) if exclude_outliers else out
+
+
 def by_text(text: Column, rules, other: str) -> Column:
     """The text of the first rule of which a word occurs."""
     out = F.lit(other)
@@ -182,6 +199,10 @@ def pain_scores() -> Column:
     return F.when(F.size(some) > 0, some).otherwise(general)
 
 
+def with_pains(assigned: DataFrame) -> DataFrame:
+    return assigned if "_all" in assigned.columns else assigned.withColumn("_all", pain_scores())
+
+
 def evidence(text: Column, words: Column, most: int = 220) -> Column:
     """From 70 characters before the first listed word found to 120 behind it; else the text's beginning."""
     word = F.try_element_at(F.filter(words, lambda w: F.contains(text, w)), F.lit(1))
@@ -193,7 +214,7 @@ def evidence(text: Column, words: Column, most: int = 220) -> Column:
 
 def pain_points(assigned: DataFrame, k: int = 3) -> DataFrame:
     p = F.col("_p")
-    d = assigned.withColumn("_all", pain_scores()).withColumn("_p", F.explode(F.slice("_all", 1, k)))
+    d = with_pains(assigned).withColumn("_p", F.explode(F.slice("_all", 1, k)))
     opportunity = F.round(F.col("topic_weight") * (1 + p["score"]) * (1 + F.col("negative_signal_score")) * (1 + F.col("question_signal_score")), 4)
     return d.select(
         "topic_id", "topic_label_llm", "funnel_stage", "topic_weight", "stage_confidence", p["code"].alias("pain_point_code"), p["name"].alias("pain_point_name"), p["hits"].alias("pain_keyword_hits"),
@@ -235,7 +256,7 @@ def signal_snippets(text: Column, most: int = 5) -> Column:
 
 def deep_dive(assigned: DataFrame) -> DataFrame:
     text, first = F.col("combined_text"), F.element_at("_all", 1)
-    return assigned.withColumn("_all", pain_scores()).select(
+    return with_pains(assigned).select(
         "topic_id", "topic_label_llm", "funnel_stage", "topic_weight", "stage_confidence", signal_snippets(text).alias("decision_signals"), by_text(text, R.NEEDS, R.NEED_OTHER).alias("customer_need"),
         by_text(text, R.BARRIERS, R.BARRIER_OTHER).alias("purchase_barrier"), first["name"].alias("primary_pain_point"), first["score"].alias("primary_pain_score"),
         by_stage(F.col("funnel_stage"), R.ACTIONS, R.ACTION_OTHER).alias("suggested_action"),
@@ -244,9 +265,9 @@ def deep_dive(assigned: DataFrame) -> DataFrame:
 
 def analyze(df: DataFrame, weight: str | None = None, exclude_outliers: bool = True, n_topics: int = 3, k_pains: int = 3) -> dict[str, DataFrame]:
     """The seven tables by name; persist what the caller reads more than once."""
-    assigned = assign_stages(prepare(df, weight), exclude_outliers)
+    assigned = assign_texts(df, weight, exclude_outliers)
     pains = pain_points(assigned, k_pains)
     return {
-        "topic_stage_mapping": assigned, "stage_summary": stage_summary(assigned), "stage_insights": stage_insights(assigned, n_topics), "topic_deep_dive": deep_dive(assigned),
+        "topic_stage_mapping": assigned.drop("_all"), "stage_summary": stage_summary(assigned), "stage_insights": stage_insights(assigned, n_topics), "topic_deep_dive": deep_dive(assigned),
         "pain_point_table": pains, "pain_point_summary": pain_summary(pains), "pain_point_insights": pain_insights(pains),
     }

@@ -366,3 +366,14 @@ def test_keybert_in_the_hashed_space_embeds_no_document(spark):
     want = {(r.topic, r.term): r.sim for r in M.term_similarity(embed(docs, "text"), "source", w, embed).collect()}
     got = {(r.topic, r.term): r.sim for r in M.hashed_similarity(docs, "source", "text", w).collect()}
     assert got.keys() == want.keys() and max(abs(got[k] - want[k]) for k in want) < 1e-6
+
+
+def test_funnel_texts_are_scored_once(spark):
+    rows = [(-1, "which car", None, 5.0), (1, "Which  car", "dealer markup", 1.0), (2, "Which  car", "dealer markup", 2.0), (3, None, "", None), (4, "", None, 3.0)]
+    d = spark.createDataFrame(rows, "topic_id int, topic_label_llm string, topic_summary_llm string, w double")
+    columns = ["topic_id", "topic_label_llm", "topic_summary_llm", "rep_doc_centroid", "topic_weight", "is_outlier", "combined_text", "negative_signal_score", "question_signal_score", "funnel_stage", "stage_confidence", "stage_match_score", "stage_reason", "topic_display"]
+    for leave_out in (True, False):
+        got, want = N.assign_texts(d, "w", leave_out), N.assign_stages(N.prepare(d, "w"), leave_out)
+        assert sorted(map(str, got.select(columns).collect())) == sorted(map(str, want.select(columns).collect()))
+        assert sorted(map(str, N.pain_points(got).collect())) == sorted(map(str, N.pain_points(want).collect()))
+    assert N.assign_texts(d, "w")._jdf.queryExecution().optimizedPlan().toString().count("array_contains") == 0  # the rules have been applied
