@@ -421,7 +421,7 @@ def stage_summary(spark, sf_dir):
 
 @query()
 def stage_insights(spark, sf_dir):
-    return N.stage_insights(_assigned(spark, sf_dir))
+    return N.stage_insights(N.assign_texts(B.topics(spark, sf_dir), "topic_w"))
 
 
 def _case(rules, other: str) -> str:
