@@ -118,6 +118,39 @@ def test_long_texts_are_read_in_stretches(monkeypatch):
     assert [len(s) for s in whole] == [len(s) for s in plain_sets(texts.to_pylist())]
 
 
+@pytest.mark.parametrize("stretch", [1, 64, 1 << 18])
+def test_stretches_hold_the_sets_of_all_texts(monkeypatch, stretch):
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(shingles, "STRETCH", stretch)
+    texts = [None, "", " ", "a", "A", "b a", "a b c d", "a b c d e", "a b c d e f", "a b c d e a b c d e", "x " * 30, "a b", "", *near_copies(3, groups=2)]
+    found = list(shingles.shingle_stretches(pa.array([None, *texts]).slice(1)))
+    sizes = np.concatenate([n for _, n in found])
+    sets = np.split(np.concatenate([v for v, _ in found]), np.cumsum(sizes)[:-1])
+    cls = np.concatenate([ngram_join._classes(v, n) for v, n in found])
+    plain = [frozenset(s) for s in plain_sets(texts)]
+    assert [len(s) for s in sets] == [len(s) for s in plain]
+    assert all((np.diff(s.astype(object)) > 0).all() for s in sets)
+    assert len({(p, tuple(s), c) for p, s, c in zip(plain, sets, cls.tolist(), strict=True)}) == len(set(plain)) == len(set(cls.tolist()))
+
+
+def test_ngram_join_deals_lists_as_a_few_rows(spark):
+    import numpy as np
+
+    texts = near_copies(5, groups=6)
+    sets = {frozenset(s) for s in plain_sets(texts) if s}
+    source = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(2)
+    rows = ngram_join._postings(source, np.zeros(1 << ngram_join.TABLE_BITS, np.uint32), 3).collect()
+    entries = sum(len(r.rows) for r in rows) // 24
+    assert len(rows) <= 2 * 3 and {r.part for r in rows} == {0, 1, 2}
+    assert sum(map(ngram_join._prefix, map(len, sets))) <= entries <= 2 * sum(map(ngram_join._prefix, map(len, sets)))
+    where = {}
+    for r in rows:
+        for tok in np.frombuffer(r.rows, np.int64, len(r.rows) // 24).tolist():
+            assert where.setdefault(tok, r.part) == r.part
+
+
 # secrets
 
 
