@@ -633,10 +633,11 @@ def topic_hierarchy(spark, sf_dir):
 def _info(spark, sf_dir, texts: bool = True, words: bool = True):
     """The topic table, with representative texts and with the MMR and KeyBERT words as asked for."""
     docs = B.read(spark, sf_dir, "documents")
-    w = written(M.top_words(K.top_weights(docs, "source", "text", M.stopwords(), 30), 30).drop("rank"))
+    *counted, sums = K.read_once(docs, "source", "text", M.stopwords(), 256 if words else 0)
+    w = written(M.top_words(K.top_weights(docs, "source", "text", M.stopwords(), 30, counted), 30).drop("rank"))
     info = M.topic_info(docs, w, "source", "text" if texts else None).filter(F.col("Representation").isNotNull())
     if words:
-        m = M.mmr(w).join(M.keybert(w, M.hashed_similarity(docs, "source", "text", w)), "topic")
+        m = M.mmr(w).join(M.keybert(w, M.hashed_similarity(docs, "source", "text", w, sums=sums)), "topic")
         info = info.join(m.withColumnRenamed("topic", "Topic"), "Topic")
     order = F.regexp_extract("Topic", r"(\d+)", 1).cast("int")
     return M.fallback_label(info.withColumn("Name", F.regexp_replace("Name", "^src", "")).withColumn("Topic", order))

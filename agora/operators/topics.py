@@ -88,10 +88,11 @@ def topic_info(docs: DataFrame, weights: DataFrame, topic: str, text: str | None
     d = d.withColumn("Name", name)
     if text:
         # documents are ranked by their likeness to the topic's words, on ids alone; texts are fetched for the chosen ones
-        named = likeness(docs, topic, key, text, top_words(weights, n))
+        named = likeness(docs, topic, key, text, top_words(weights, n), representatives)
         best = Window.partitionBy("_topic").orderBy(F.desc("_like"), "_key")
         chosen = named.withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= representatives)
-        reps = docs.join(chosen.select("_topic", "_key", "_r"), F.col(topic).eqNullSafe(F.col("_topic")) & (F.col(key) == F.col("_key")))
+        chosen = written(chosen.select("_topic", "_key", "_r"))  # so their size is known, and texts needn't be exchanged for a few
+        reps = docs.join(chosen, F.col(topic).eqNullSafe(F.col("_topic")) & (F.col(key) == F.col("_key")))
         reps = reps.groupBy(F.col(topic).alias("topic")).agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", F.col(text).alias("t")))), lambda x: x["t"]).alias("Representative_Docs"))
         d = d.join(reps, "topic", "left")
     return d.withColumnRenamed("topic", "Topic")
@@ -290,10 +291,10 @@ def _to_centroids(means: DataFrame, weights: DataFrame, embed: Callable[[DataFra
     return d.select("topic", "term", cosine(F.col("embedding"), F.col("centroid")).alias("sim"))
 
 
-def hashed_similarity(docs: DataFrame, topic: str, text: str, weights: DataFrame, n: int = 10, size: int = 256) -> DataFrame:
+def hashed_similarity(docs: DataFrame, topic: str, text: str, weights: DataFrame, n: int = 10, size: int = 256, sums: DataFrame | None = None) -> DataFrame:
     """``term_similarity`` in the space of ``embed``. The mean of hashed TF-IDF vectors follows from a topic's sums, so
     no document is embedded; sums are doubles, where ``embed`` rounds each vector to floats."""
-    sums = written(hashed_sums(docs, topic, text, size))
+    sums = written(sums or hashed_sums(docs, topic, text, size))
     rows = docs.groupBy(F.col(topic).alias("_g")).agg(F.count("*").alias("_n"))
     total = docs.count()
     df = dict(sums.groupBy("i").agg(F.sum("df")).collect())

@@ -1,8 +1,10 @@
 """Filters, dedup, exploration, funnel, figures, labels and sources on small rows."""
 
 import json
+import re
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from agora.config import CorpusConfig, LabelerConfig, RefineConfig
@@ -368,6 +370,44 @@ def test_keybert_in_the_hashed_space_embeds_no_document(spark):
     assert got.keys() == want.keys() and max(abs(got[k] - want[k]) for k in want) < 1e-6
 
 
+def test_texts_are_split_once_for_counts_and_sums(spark, monkeypatch):
+    """What is read once holds the words of topics, their counts and the hashed sums; a task deals its counts in as many rows as there are parts."""
+    from agora.operators import counting as K
+
+    rows = [(i, x, t) for i, (x, t) in enumerate([("a", "The cat, the CAT's tail İstanbul Kelvin café x"), ("a", None), ("b", ""), (None, "one two one"), ("c", "the of"), ("b", "q"), ("d", "one  two\nthree " + "z" * 1000)])]
+    odd = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    monkeypatch.setattr(K, "PIECE", 20_000), monkeypatch.setattr(K, "PART", 100_000), monkeypatch.setattr(K, "PIECE_ROWS", 3)
+    of = lambda d: sorted(map(str, d.collect()))
+    for d, stop in ((odd, ["the", "of"]), (odd, None), (docs.coalesce(1), M.stopwords()), (odd.filter("doc_id < 0"), None)):
+        words, dealt, sums = K.read_once(d, "source", "text", stop, 32)
+        assert of(words) == of(K.sizes(d, "source", "text", stop).select("topic", "words"))
+        assert of(sums) == of(K.hashed_sums(d, "source", "text", 32))
+        counts = dealt.groupBy("part").applyInArrow(lambda t: K.pa.table({"topic": (s := K._summed(t))[0].take(K.pa.array(s[2])), "term": s[1].take(K.pa.array(s[3])), "tf": s[4]}), "topic string, term string, tf long")
+        assert of(counts.select("topic", "term", "tf")) == of(M.term_counts(d, "source", M.ngrams(M.words(F.col("text")), 1, stop)).select("topic", "term", "tf"))
+        assert d is odd or dealt.groupBy("part").count().filter("count > 1").isEmpty()
+
+
+def test_likeness_of_the_first_ranks_counts_few_texts(spark, monkeypatch):
+    from agora.operators import counting as K
+
+    monkeypatch.setattr(K, "PIECE", 50_000)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").withColumn("source", F.when(F.col("doc_id") % 7 > 0, F.col("source"))).coalesce(1)
+    w = M.top_words(K.top_weights(docs.filter("source > 'src1'"), "source", "text", M.stopwords(), 10), 10).drop("rank").persist()
+    best = Window.partitionBy("_topic").orderBy(F.desc("_like"), "_key")
+    first = lambda d: sorted(map(str, d.withColumn("r", F.row_number().over(best)).filter("r <= 3").collect()))
+    whole, some = K.likeness(docs, "source", "doc_id", "text", w), K.likeness(docs, "source", "doc_id", "text", w, 3)
+    assert first(some) == first(whole)
+    listed = F.col("_topic").isin([r.topic for r in w.select("topic").distinct().collect()])
+    assert some.filter(listed).count() < whole.filter(listed).count() / 3
+
+
+def test_texts_of_representatives_are_not_exchanged(spark):
+    docs = spark.createDataFrame([(1, "a", "car road"), (2, "b", "sea")], "doc_id int, source string, text string")
+    w = spark.createDataFrame([("a", "car", 0.5), ("b", "sea", 0.3)], "topic string, term string, weight double")
+    assert re.search(r"BroadcastHashJoin \[[^\]]*doc_id", M.topic_info(docs, w, "source", "text")._jdf.queryExecution().executedPlan().toString())
+
+
 def test_funnel_texts_are_scored_once(spark):
     rows = [(-1, "which car", None, 5.0), (1, "Which  car", "dealer markup", 1.0), (2, "Which  car", "dealer markup", 2.0), (3, None, "", None), (4, "", None, 3.0)]
     d = spark.createDataFrame(rows, "topic_id int, topic_label_llm string, topic_summary_llm string, w double")
