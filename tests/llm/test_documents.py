@@ -151,6 +151,19 @@ def test_ngram_join_deals_lists_as_a_few_rows(spark):
             assert where.setdefault(tok, r.part) == r.part
 
 
+def test_single_shingles_make_no_family(spark, monkeypatch):
+    """Short texts that share one shingle with the next are no chain that is compared all with all, even if it comes first."""
+    made, families, frequencies = [], ngram_join._families, ngram_join._frequencies
+    monkeypatch.setattr(ngram_join, "_frequencies", lambda facts: 1000 - frequencies(facts))
+    monkeypatch.setattr(ngram_join, "_families", lambda *a: made.append(families(*a)) or made[-1].persist())
+    bridge = lambda k: " ".join(f"b{k}x{j}" for j in range(5))
+    texts = [f"{bridge(k)} " + " ".join(f"w{k}x{j}" for j in range(26)) + f" {bridge(k + 1)}" for k in range(30)]
+    near = ["n0 n1 n2 n3 n4 n5 n6 " + " ".join(f"m{j}" for j in range(60)) + f" t{k}" for k in range(3)]
+    got = [r.component_id for r in ngram_join.near_duplicates(table(spark, texts + near)).orderBy("doc_id").collect()]
+    assert got == [*range(30), 30, 30, 30]
+    assert made[0].count() == 3
+
+
 # secrets
 
 
